@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import forms, terms
+from . import bpe, chunk_tree, conversations, distinctive, forms, terms
 
 COMMON = {"mes": 0.20, "key": 0.02}
 
@@ -29,6 +29,39 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.inconsistent_values(table(spark, d, "book_entries"), table(spark, d, "chat_messages"))
 
 
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversation_rows(table(spark, d, "chats"), table(spark, d, "chat_messages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversation_faults(table(spark, d, "chats"), table(spark, d, "chat_messages"))
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "book_entries").select(F.col("entry_id").alias("row_id"), F.col("content").alias("text"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_tree.split_items(_contents(spark, d)).withColumnRenamed("row_id", "entry_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_tree.split_levels(_contents(spark, d)).withColumnRenamed("row_id", "entry_id")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.term_scores(distinctive.records(table(spark, d, "book_entries"), table(spark, d, "chat_messages")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    recs = distinctive.records(table(spark, d, "book_entries"), table(spark, d, "chat_messages"))
+    return distinctive.term_scores(recs, min_tf=3, max_df=5).select("field", "row_id", "term")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:].split("_")[0].isdigit()}
 
