@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chunk_tree, conversations, distinctive, forms, leakage, terms
+from . import bpe, chunk_tree, conversations, distinctive, forms, leakage, residue, terms
 
 COMMON = {"mes": 0.20, "key": 0.02}
 
@@ -70,6 +70,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_passages(spark, d).select("doc_id", "item_id")
 
 
+def p10_judged(spark: SparkSession, d: str) -> DataFrame:
+    return residue.judged(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_judged(spark, d).filter("residue").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:].split("_")[0].isdigit()}
 
