@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chunk_tree, conversations, distinctive, forms, leakage, residue, terms
+from . import bpe, chunk_tree, consensus, conversations, distinctive, forms, leakage, residue, terms
 
 COMMON = {"mes": 0.20, "key": 0.02}
 
@@ -21,6 +21,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_counts(spark, d).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
+def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "graded_entries"), table(spark, d, "scene_raters"))
+
+
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "graded_entries"), table(spark, d, "scene_raters"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_consensus(spark, d).filter("disputed AND n_raters >= 3").select("item_id", "grade")
+
+
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.consistent_values(table(spark, d, "book_entries"), table(spark, d, "chat_messages"))
 
