@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chunk_tree, consensus, conversations, distinctive, forms, leakage, residue, terms
+from . import bpe, chunk_tree, consensus, conversations, distinctive, forms, leakage, markup, residue, terms
 
 COMMON = {"mes": 0.20, "key": 0.02}
 
@@ -41,6 +41,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.inconsistent_values(table(spark, d, "book_entries"), table(spark, d, "chat_messages"))
 
 
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(table(spark, d, "chat_messages"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.present_markups(table(spark, d, "chat_messages"))
+
+
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversation_rows(table(spark, d, "chats"), table(spark, d, "chat_messages"))
 
