@@ -300,6 +300,12 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 11) -> list[tuple[str, l
             parts.append((" ", "chat"))
         text, spans = "", []
         for piece, label in parts:
+            if label != "chat" and not set("\n*") & set(piece) and rng.random() < 0.3:  # a mark inside an action
+                spans.append((len(text), len(text) + 1, "chat"))
+                text += f"*{w()} "
+                spans.append((len(text), len(text) + len(piece), label))
+                text += f"{piece} {w()}*"
+                continue
             # an action inside a marked passage stays ordinary
             spans += [(len(text) + m.start(), len(text) + m.end(), "chat") for m in re.finditer(r"(?<!\*)\*[^*\n]+\*(?!\*)", piece) if label != "chat"]
             spans.append((len(text), len(text) + len(piece), label))
