@@ -104,19 +104,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parsimonious(rec: np.ndarray, tf: np.ndarray, background: np.ndarray, n: int) -> np.ndarray:
-    """Converged own probabilities for pairs (record rec of n, count tf, background probability)."""
+    """Converged own probabilities for pairs (record rec of n, in order; count tf; background probability).
+
+    A record whose probabilities all change by less than TOLERANCE in a round has converged and leaves the rounds.
+    """
     tf = tf.astype(float)
     own = tf / np.bincount(rec, tf, n)[rec]
-    rest = (1 - MIX) * background
-    for _ in range(MAX_ROUNDS):
-        mass = MIX * own
-        mass = tf * (mass / (mass + rest))
-        total = np.bincount(rec, mass, n)
-        after = mass / np.maximum(total, 1e-300)[rec]
-        if np.abs(after - own).max(initial=0.0) < TOLERANCE:
-            return after
+    out, at, rest = own.copy(), np.arange(len(rec)), (1 - MIX) / MIX * background
+    for r in range(MAX_ROUNDS):
+        mass = tf * own
+        mass /= own + rest
+        after = mass / np.bincount(rec, mass, n)[rec]
+        if r % 4 == 3:
+            moved = np.zeros(n, bool)
+            moved[rec[np.abs(after - own) >= TOLERANCE]] = True
+            stay = moved[rec]
+            if not stay.all():
+                out[at] = after
+                at, rec, tf, rest, after = at[stay], rec[stay], tf[stay], rest[stay], after[stay]
+                if not len(at):
+                    return out
+                _, rec = np.unique(rec, return_inverse=True)
+                n = int(rec[-1]) + 1
         own = after
-    return own
+    out[at] = own
+    return out
 
 
 def _score(totals: dict[str, int], min_tf: int, max_df: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
