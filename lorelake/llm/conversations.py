@@ -19,26 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import parsed_date
 from ..session import checkpointed
 from .terms import counted_messages
 
 
-def parsed_date(c: Column) -> Column:
-    """Microseconds since 1970 (UTC) of a written date: ISO, ``2024-03-01@00h27m21s``, ``March 1, 2024 1:01am``, or digits of
-    a Unix time in seconds or milliseconds; null if unreadable."""
-    s = F.trim(c)
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00")))
-    at = F.regexp_extract(s, r"^(\d{4}-\d{1,2}-\d{1,2})\s*@\s*(\d{1,2})h\s*(\d{1,2})m\s*(\d{1,2})s(?:\s*(\d{1,3})ms)?$", 0)
-    part = lambda i: F.regexp_extract(s, r"^(\d{4}-\d{1,2}-\d{1,2})\s*@\s*(\d{1,2})h\s*(\d{1,2})m\s*(\d{1,2})s(?:\s*(\d{1,3})ms)?$", i)
-    marked = F.when(at != "", F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.lit(":"), part(3), F.lit(":"), part(4)), F.lit("yyyy-M-d H:m:s")))
-    written = F.when(s.rlike(r"(?i)^[a-z]+ \d{1,2}, \d{4} \d{1,2}:\d{2}(:\d{2})?\s?[ap]m$"), F.try_to_timestamp(F.regexp_replace(F.initcap(F.regexp_replace(F.lower(s), r"(:\d{2})\s?([ap]m)$", "$1 $2")), r" ([AP])m$", " $1M"), F.lit("MMMM d, yyyy h:mm a")))
-    digits = F.when(s.rlike(r"^\d{12,14}$"), s.cast("long") * 1000).when(s.rlike(r"^\d{9,10}$"), s.cast("long") * 1_000_000)
-    return F.coalesce(digits, F.unix_micros(F.coalesce(iso, marked, written)))
-
-
 def small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
