@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streams: latches over message logs, count windows, and index maintenance by batch."""
