@@ -102,5 +102,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:].split("_")[0].isdigit()}
 
 
+_DATE = """CASE WHEN regexp_full_match(trim(send_date), '\\d{12,14}') THEN try_cast(trim(send_date) AS BIGINT) * 1000
+  WHEN regexp_full_match(trim(send_date), '\\d{9,10}') THEN try_cast(trim(send_date) AS BIGINT) * 1000000
+  ELSE epoch_us(coalesce(try_strptime(trim(send_date), '%Y-%m-%dT%H:%M:%S.%gZ'), try_strptime(trim(send_date), '%Y-%m-%d@%Hh%Mm%Ss'), try_strptime(trim(send_date), '%B %-d, %Y %-I:%M%p'))) END"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    units = lambda split: f"len(list_filter({split}, lambda u: length(trim(u, E' \\t\\r\\n')) > 1200)) = 0"
+    return {
+        "p5_found": f"""WITH m AS (SELECT DISTINCT chat_id, name, is_user, is_system, send_date, mes, {_DATE} AS t FROM chat_messages
+            WHERE is_system IS NOT TRUE AND regexp_matches(mes, '\\S')),
+          o AS (SELECT chat_id, is_user, t, lead(is_user) OVER (PARTITION BY chat_id ORDER BY t, is_user DESC) AS following FROM m),
+          g AS (SELECT chat_id, count(*) AS n, bool_or(is_user IS NULL OR t IS NULL) AS broken, count(*) FILTER (is_user) AS u, count(*) FILTER (NOT is_user) AS c,
+            bool_or(is_user AND coalesce(following, true)) AS open FROM o GROUP BY chat_id),
+          f AS (SELECT chat_id, CASE WHEN n IS NULL THEN 'empty' WHEN broken THEN 'broken' WHEN u = 0 OR c = 0 THEN 'one_sided' WHEN open THEN 'unanswered' END AS fault FROM chats LEFT JOIN g USING (chat_id))
+          SELECT chat_id, fault FROM f WHERE fault IS NOT NULL""",
+        "p6_found": f"""SELECT entry_id, CASE WHEN {units("regexp_split_to_array(content, '\\n[ \\t\\r]*\\n')")} THEN 'paragraph' WHEN {units("string_split(content, chr(10))")} THEN 'line'
+            WHEN {units("string_split(regexp_replace(content, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))")} THEN 'sentence'
+            WHEN {units("regexp_split_to_array(content, '[ \\t\\r\\n]+')")} THEN 'word' ELSE 'none' END AS level
+          FROM book_entries WHERE length(content) > 1200""",
+    }
