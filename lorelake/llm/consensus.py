@@ -25,7 +25,7 @@ from ..session import checkpointed
 CLASSES = (0, 1, 2, 3, 4)
 TOLERANCE = 1e-4  # mean change of a belief in a round
 MAX_ROUNDS = 60
-SMOOTH = 0.5  # pseudo-verdicts of an annotator and class, spread as all verdicts are
+SMOOTH = 0.5  # pseudo-verdicts of an annotator and class: half of them right, half spread as all verdicts are
 BROADCAST_ROWS = 100_000  # annotator totals (5 rows each) that may be broadcast
 
 
@@ -63,13 +63,14 @@ def pass_messages(edges: DataFrame, tolerance: float = TOLERANCE, max_rounds: in
     counts = {r.grade: r["count"] for r in edges.groupBy("grade").count().collect()}  # at most one row a class
     total = sum(counts.values())
     share = [(counts.get(k, 0) + 1) / (total + len(CLASSES)) for k in CLASSES]
-    spread = F.element_at(_each(lambda k: F.lit(SMOOTH * share[k])), F.col("grade") + 1)
+    spread = F.element_at(_each(lambda k: F.lit(SMOOTH / 2 * share[k])), F.col("grade") + 1)
+    prior = lambda k: spread + F.when(F.col("grade") == k, SMOOTH / 2).otherwise(0.0)
     votes = edges.groupBy("item_id").agg(_each(lambda k: F.avg((F.col("grade") == k).cast("double"))).alias("p"))
     sent = checkpointed(edges.join(votes, "item_id").select("item_id", "rater_id", "grade", "p"))
     for rounds in range(1, max_rounds + 1):
         table = checkpointed(_annotators(sent))
         e = sent.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, ["rater_id", "grade"])
-        lend = _each(lambda k: F.log((F.get("inside", F.lit(k)) - F.get("p", F.lit(k)) + spread) / (F.get("in_all", F.lit(k)) - F.get("p", F.lit(k)) + SMOOTH)))
+        lend = _each(lambda k: F.log((F.get("inside", F.lit(k)) - F.get("p", F.lit(k)) + prior(k)) / (F.get("in_all", F.lit(k)) - F.get("p", F.lit(k)) + SMOOTH)))
         e = e.select("item_id", "rater_id", "grade", "p", lend.alias("lend"))
         items = e.groupBy("item_id").agg(_each(lambda k: F.sum(F.get("lend", F.lit(k))) + F.log(F.lit(share[k]))).alias("all"), F.count(F.lit(1)).alias("n"))
         items = items.select("item_id", "all", "n", _softmax("all").alias("whole"))

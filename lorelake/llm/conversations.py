@@ -65,9 +65,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def quote_links(messages: DataFrame) -> DataFrame:
     """(u, v) message ids: a text whose opening lines, marked ``> ``, repeat another message as a whole."""
-    quoted = F.trim(F.regexp_replace(F.regexp_extract("mes", r"^((?:> ?[^\n]*(?:\n|$))+)", 1), r"(?m)^> ?", ""))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    quoted = bare(F.regexp_replace(F.regexp_extract("mes", r"^((?:> ?[^\n]*(?:\n|$))+)", 1), r"(?m)^> ?", ""))
     quotes = messages.select(F.col("msg_id").alias("u"), F.md5(quoted).alias("h"), F.length(quoted).alias("n")).filter("n >= 20")
-    texts = messages.groupBy(F.md5(F.trim("mes")).alias("h")).agg(F.min("msg_id").alias("v"))  # copies of a text are one target
+    texts = messages.groupBy(F.md5(bare(F.col("mes"))).alias("h")).agg(F.min("msg_id").alias("v"))  # copies of a text are one target
     return quotes.join(texts, "h").filter("u <> v").select("u", "v")
 
 
