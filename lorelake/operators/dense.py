@@ -143,5 +143,11 @@ def project_out(v: Column, mean: np.ndarray, comps: np.ndarray, weights: list[fl
     out = centred(v, F.array(*map(F.lit, mean.tolist())))
     for c, w in zip(comps, weights or [0.0] * len(comps)):
         axis = F.array(*map(F.lit, c.tolist()))
-        out = F.zip_with(out, F.transform(axis, lambda x, out=out, axis=axis, w=w: x * dot(out, axis) * (1 - w)), lambda a, b: a - b)
+        # components are orthogonal, so each is taken off by its share of the centred vector
+        share = dot(centred(v, F.array(*map(F.lit, mean.tolist()))), axis) * float(1 - w)
+        out = F.zip_with(out, F.transform(axis, _times(share)), lambda a, b: a - b)
     return out
+
+
+def _times(factor: Column):
+    return lambda x: x * factor

@@ -89,7 +89,8 @@ def kappa(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", classes:
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """([by,] rho, n): rank correlation with mean ranks of ties."""
     ranked = midranks(midranks(rows, x, by, "_rx"), y, by, "_ry")
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    sums = ranked.groupBy(*by).agg(F.covar_pop("_rx", "_ry").alias("_c"), (F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_s"), F.count(F.lit(1)).alias("n"))
+    return sums.select(*by, F.when(F.col("_s") > 0, F.col("_c") / F.col("_s")).alias("rho"), "n")
 
 
 def sign_test(deltas: DataFrame, by: list[str], delta: str = "delta", eps: float = 1e-9) -> DataFrame:
