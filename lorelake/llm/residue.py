@@ -215,12 +215,24 @@ class ExemplarIndex:
         """(residue, containment, exemplar) of a text: its passage with the highest containment of a residue exemplar that no telling one outdoes."""
         top = (False, 0.0, -1)
         if text:
-            for p in passages(consistent_form(text)):
+            text = consistent_form(text)
+            if not self.possible(Counter(terms_in(slotted(text)))):
+                return top
+            for p in passages(text):
                 cover, label, e = self.cover(p)
                 if label and cover >= COVER and cover > top[1]:
                     top = (True, cover, e)
         return top
 
+    def possible(self, terms: Counter) -> bool:
+        """Whether the whole text holds enough of any residue exemplar; no passage can hold more."""
+        held: dict[int, float] = {}
+        for t in self.postings.keys() & terms.keys():
+            n, w = terms[t], self.idf[t]
+            for e, m in self.postings[t]:
+                held[e] = held.get(e, 0.0) + min(n, m) * w
+        return any(w >= (COVER - 1e-9) * self.mass[e] and self.labelled[e][0] for e, w in held.items())
+
     def cover(self, passage: list[str]) -> tuple[float, bool, int]:
         held: dict[int, float] = {}
         for t, n in Counter(passage).items():
