@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import smartkeys as S
+from ..session import stored
 
 PATTERN_BLOCK = 200_000  # patterns an automaton holds; more go in further passes
 
@@ -132,7 +133,7 @@ def match_units(entries: DataFrame, segments: DataFrame) -> DataFrame:
     """
     have = set(entries.columns)
     col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
-    keys = key_table(entries)
+    keys = stored(key_table(entries), "keys")
     flags = entries.select("entry_id", col("case_sensitive", "boolean").alias("cased"), col("whole_words", "boolean").alias("whole"), col("keysecondary", "array<string>").alias("secondary"), col("selective_logic", "int").alias("logic"))
     hits = literal_hits(segments, keys).select("seg_id", "form").join(segments.select("seg_id", "world"), "seg_id")
     by_form = keys.filter("usable AND size(forms) > 0").select("world", "entry_id", "key", F.explode("forms").alias("form"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 
 # Limits, and words that may stand inside a gram but not end it.
 PARTICLES = frozenset("de del da di du la las le les los el van von der den bin ibn al af av dos das".split())
@@ -140,7 +141,7 @@ def entry_grams(entries: DataFrame, pack: LanguagePack = LanguagePack(), most: i
 
 def ngram_scores(entries: DataFrame, pack: LanguagePack = LanguagePack(), df_ceiling: float = DF_CEILING, most: int = MAX_WORDS) -> DataFrame:
     """(world, entry_id, gram, tf, df, words, score): tf x idf with longer grams favoured, grams in too many entries out."""
-    g = entry_grams(entries, pack, most)
+    g = stored(entry_grams(entries, pack, most), "entry-grams")
     df = g.groupBy("world", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min("next_word").alias("n1"), F.max("next_word").alias("n2"), F.count("next_word").alias("nn"))
     size = entries.groupBy("world").agg(F.count(F.lit(1)).alias("n"))
     fixed = (F.col("words") > 1) & (F.col("cf") >= 2) & (F.col("n1") == F.col("n2")) & (F.col("nn") == F.col("df")) & (F.col("n1") != ".")  # always goes on the same way
@@ -164,13 +165,13 @@ def suggestions(entries: DataFrame, pack: LanguagePack = LanguagePack(), cap: in
     A gram used once must be made of names. A long cohesive gram takes the place of the grams it contains at the same count; one that
     isn't gives way to its shoulder. Grams that an entry lists as keys already are left out.
     """
-    rows = ngram_scores(entries, pack)
+    rows = stored(ngram_scores(entries, pack), "grams")  # read for names, cohesion and subsumption
     names = word_evidence(entries).filter("is_name").select("world", "word")
     once = rows.filter(F.col("tf") < least)
     words = once.select("world", "entry_id", "gram", F.explode(F.split("gram", " ")).alias("word")).filter(~F.col("word").isin(sorted(LINKERS)))
     unnamed = words.join(names, ["world", "word"], "left_anti").select("world", "entry_id", "gram").distinct()
     rows = rows.join(unnamed, ["world", "entry_id", "gram"], "left_anti")
-    rows = rows.join(cohesion(rows), ["world", "gram"], "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0)))
+    rows = stored(rows.join(cohesion(rows), ["world", "gram"], "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0))), "cohesive-grams")
     parts = F.split("gram", " ")
     inner = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), " "))))
     longer = rows.filter("words > 1").select("world", "entry_id", "tf", "words", F.col("gram").alias("long"), (F.col("cohesion") >= SUBSUME).alias("holds"), F.explode(F.array_distinct(inner)).alias("gram"))
