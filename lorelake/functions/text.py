@@ -311,3 +311,104 @@ def chunk_entry(s: str | None, mode: str = "paragraph", size: int = 1750, least:
     if not s or not s.strip():
         return []
     return chunk_paragraphs(s, size, least) if mode == "paragraph" else split_recursive(s, size)
+
+
+# --- forms of keys and patterns ----------------------------------------------------------------------------------------------
+
+_message_break = re.compile(r"^[ \t]*-{3,}[ \t]*$", re.M)
+# Scripts written without blanks between words, kana before Han.
+_spaceless = [("Japanese", r"[\p{Script=Hiragana}\p{Script=Katakana}]"), ("Chinese", r"\p{Script=Han}"), ("Thai", r"\p{Script=Thai}"), ("Lao", r"\p{Script=Lao}"), ("Khmer", r"\p{Script=Khmer}"), ("Burmese", r"\p{Script=Myanmar}")]
+
+
+def placed_segments(s: str | None, window: str) -> list[tuple[int, str]]:
+    """(place, text) of the segments of one composed text; a line of dashes ends a message."""
+    src = unicodedata.normalize("NFC", s or "")
+    parts = [(0, src)]
+    if window in ("message", "paragraph"):
+        for cut in (_message_break, _blank_line) if window == "paragraph" else (_message_break,):
+            out = []
+            for at, t in parts:
+                last = 0
+                for m in cut.finditer(t):
+                    out.append((at + last, t[last : m.start()]))
+                    last = m.end()
+                out.append((at + last, t[last:]))
+            parts = out
+        if window == "paragraph":
+            pieces = []
+            for at, t in parts:
+                for b in cut_blocks(t):
+                    pieces.append((at, b))
+                    at += len(b)
+            parts = pieces
+    return [(at, t) for at, t in parts if t.strip()]
+
+
+def swap_hyphens(pattern: str, to: str) -> str | None:
+    """A ``/pattern/flags`` with its literal hyphens replaced; those of ranges and escaped ones stay. None for what isn't a pattern."""
+    m = re.fullmatch(r"/([\s\S]+)/([dgimsuvy]*)", pattern)
+    if not m or "v" in m[2]:
+        return None
+
+    def in_class(c: re.Match) -> str:
+        body, tail = c[2], c[3]
+        atoms = re.findall(r"\\.|[^\\]", body, re.S)
+        out, i = [], 0
+        while i < len(atoms):
+            if i + 2 < len(atoms) and atoms[i + 1] == "-":  # a range: its ends and its hyphen stay
+                out += [to if atoms[i] == "-" else atoms[i], "-", atoms[i + 2]] if atoms[i] != "-" or i else [to]
+                i += 3 if atoms[i] != "-" or i else 1
+            else:
+                out.append(to if atoms[i] == "-" else atoms[i])
+                i += 1
+        return c[1] + "".join(out) + tail
+
+    parts = re.split(r"(\\.|\[\^?(?:\\.|[^\]\\])*\])", m[1], flags=re.S)
+    done = [re.sub(r"(\[\^?)((?:\\.|[^\]\\])*)(\])", in_class, p, flags=re.S) if p.startswith("[") else p if p.startswith("\\") else p.replace("-", to) for p in parts]
+    return f"/{''.join(done)}/{m[2]}"
+
+
+def other_spellings(pattern: str) -> list[tuple[str, str]]:
+    """(pattern, what it adds) for each spelling of quotes and dashes that a pattern can't reach."""
+    out = []
+    for plain, pair in (("'", "‘’"), ('"', "“”")):
+        straight, curly = plain in pattern, any(c in pattern for c in pair)
+        if straight and not curly:
+            out += [(pattern.replace(plain, c), "curly form") for c in pair]
+        elif curly and not straight:
+            out.append((pattern.replace(pair[0], plain).replace(pair[1], plain), "straight form"))
+    dashed = None if "–" in pattern else swap_hyphens(pattern, "–")
+    return out + ([(dashed, "en dash")] if dashed and dashed != pattern else [])
+
+
+def stems(w: str) -> list[str]:
+    """What a word may be an inflection of, by its ending alone."""
+    for ending, least in (("ing", 6), ("ed", 5)):
+        if w.endswith(ending) and len(w) >= least:
+            base = w[: -len(ending)]
+            return [base, base + "e"] + ([base[:-1]] if len(base) > 2 and base[-1] == base[-2] else [])
+    if w.endswith("ies") and len(w) >= 5:
+        return [w[:-3] + "y"]
+    if w.endswith("s") and not w.endswith("ss") and len(w) >= 4:
+        return [w[:-1]] + ([w[:-2]] if w.endswith("es") else [])
+    return []
+
+
+def rarity(term: str, zipf: dict[str, float], names: frozenset[str] = frozenset(), low: float = 2.5, high: float = 3.8, phrase_word: float = 5.5) -> float:
+    """How far a language's word frequencies let a term pass: 1 up to ``low``, 0 from ``high`` on; a phrase goes by its rarest word and may
+    hold none of the most common ones, a single word above 3 doesn't pass."""
+    words = term.split(" ")
+    known = {w: 0.0 if w in names else zipf.get(w) or max((zipf.get(s, 0.0) for s in stems(w)), default=0.0) for w in words}
+    if len(words) > 1 and any(z > phrase_word for w, z in known.items() if w not in ("of", "the") and w not in NAME_PARTICLES):
+        return 0.0
+    z = min(known.values())
+    return 0.0 if len(words) == 1 and z >= 3.0 else min(1.0, max(0.0, (high - z) / (high - low)))
+
+
+def whole_word_advice(keys: Iterable[str]) -> list[str]:
+    """What an author should know about whole-word matching of these keys."""
+    plain = [k.strip() for k in keys if k and k.strip() and not k.strip().startswith(("?", "/"))]
+    spaced = next((k for k in plain if " " in k), None)
+    script = next((n for n, p in _spaceless if any(regex.search(p, k) for k in plain)), None)
+    out = [f"whole words: “{spaced}” won't match a suffixed form"] if spaced else []
+    return out + ([f"{script} has no word boundaries: a key can't match inside a run"] if script else [])

@@ -22,9 +22,11 @@ def last_messages(messages: DataFrame, depth: int | None) -> DataFrame:
 
     The rank limit is taken before the shuffle too, so a hot chat sends at most ``depth`` rows a task.
     """
+    rows = usable_messages(messages).select("chat_id", "msg_id", "t", "name", "is_user", "mes")
+    if depth is None:
+        return numbered(rows, "chat_id", list(ORDER))
     w = Window.partitionBy("chat_id").orderBy(*[F.col(c).desc() for c in ORDER])
-    ranked = usable_messages(messages).select("chat_id", "msg_id", "t", "name", "is_user", "mes", (F.row_number().over(w) - 1).alias("back"))
-    return ranked if depth is None else ranked.filter(F.col("back") < depth)
+    return rows.withColumn("back", F.row_number().over(w) - 1).filter(F.col("back") < depth)
 
 
 def spoken(include_names: bool = True) -> Column:
@@ -73,6 +75,19 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return placed.withColumn("at", F.row_number().over(local) - 1).join(starts, [key, "part"]).withColumn("back", F.col("at") + F.col("before")).drop("part", "at", "before")
 
 
+def sliding(rows: DataFrame, key: str, order: list[str], depth: int, value: str, out: str, block: int = 10_000) -> DataFrame:
+    """``rows`` with out, the values of the last ``depth`` rows of the key up to each row, oldest first.
+
+    A key is cut into blocks of ``block`` rows; a block also gets the depth - 1 rows before it, so no task holds more than that of any key.
+    """
+    placed = numbered(rows, key, order)
+    own = F.floor(F.col("back") / block)
+    also = F.when((F.col("back") % block < depth - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    spread = placed.withColumn("_own", own).withColumn("_block", F.explode(also))
+    w = Window.partitionBy(key, "_block").orderBy(F.col("back").desc()).rowsBetween(-(depth - 1), 0)
+    return spread.withColumn(out, F.collect_list(value).over(w)).filter("_own = _block").drop("_own", "_block", "back")
+
+
 def eligible(entries: DataFrame) -> DataFrame:
     """Enabled entries with content."""
     return entries.filter(~F.coalesce("disable", F.lit(False)) & (F.trim(F.coalesce("content", F.lit(""))) != ""))

@@ -102,6 +102,16 @@ LAST = f"SELECT item_id, rater_id, arg_max(grade, (coalesce(graded_at, ''), pos)
 PAIRS = f"SELECT x.item_id, x.rater_id AS rater_a, y.rater_id AS rater_b, x.grade AS a, y.grade AS b FROM ({LAST}) x JOIN ({LAST}) y ON x.item_id = y.item_id AND x.rater_id < y.rater_id"
 
 ORACLE: dict[str, str] = {
+    "judge_agreement": f"""SELECT rater_a, rater_b, count(*) AS n, round(avg(CAST(a = b AS INTEGER)), 6) AS exact, round(avg(CAST(abs(a - b) <= 1 AS INTEGER)), 6) AS within_one,
+      round(count(*) FILTER (a >= 3 AND b >= 3) / nullif(count(*) FILTER (b >= 3), 0), 6) AS precision, round(count(*) FILTER (a >= 3 AND b >= 3) / nullif(count(*) FILTER (a >= 3), 0), 6) AS recall FROM ({PAIRS}) GROUP BY ALL""",
+    "tier_recall": f"""WITH s AS (SELECT b.tier, s.book, CAST(grade >= 3 AS INTEGER) AS rel, CAST(score >= 15 AS INTEGER) AS dl FROM ({SIGNALS}) s JOIN books b ON b.world = s.book)
+      SELECT tier, book, CAST(sum(rel) AS BIGINT) AS relevant, CAST(sum(rel * dl) AS BIGINT) AS found, round(sum(rel * dl) / nullif(sum(rel), 0), 6) AS recall FROM s GROUP BY ROLLUP (tier, book)""",
+    "delivered_f2": f"""WITH s AS (SELECT scene_id, count(*) FILTER (score >= 15) AS n, sum(CASE WHEN score >= 15 THEN CASE WHEN grade >= 3 THEN 1.0 WHEN grade >= 2 THEN 0.5 ELSE 0 END ELSE 0 END) AS c,
+        count(*) FILTER (score >= 15 AND grade >= 3) AS hit, count(*) FILTER (grade >= 3) AS rel FROM ({SIGNALS}) GROUP BY scene_id),
+      p AS (SELECT scene_id, CASE WHEN n > 0 THEN c / n ELSE 0 END AS p, CASE WHEN rel > 0 THEN hit / rel ELSE 0 END AS r FROM s)
+      SELECT scene_id, round(CASE WHEN p > 0 OR r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS f2 FROM p""",
+    "scan_scenes": f"""WITH m AS (SELECT *, CASE WHEN coalesce(name, '') <> '' THEN name || ': ' || mes ELSE mes END AS s FROM ({USABLE}))
+      SELECT chat_id, msg_id, CAST(sum(length(s) + 1) OVER (PARTITION BY chat_id ORDER BY t, msg_id ROWS 9 PRECEDING) - 1 AS INTEGER) AS chars FROM m""",
     "qwk": f"""WITH p AS ({PAIRS}), c AS (SELECT rater_a, rater_b, a, b, count(*) AS o FROM p GROUP BY ALL),
       s AS (SELECT rater_a, rater_b, sum(power(a - b, 2) / 16 * o) AS num, sum(o) AS n FROM c GROUP BY ALL),
       i AS (SELECT rater_a, rater_b, a, sum(o) AS ra FROM c GROUP BY ALL), j AS (SELECT rater_a, rater_b, b, sum(o) AS rb FROM c GROUP BY ALL),

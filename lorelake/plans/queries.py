@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..operators import activation, audit, delivery, dense, evaluation, filters, grades, keyedit, lexical, lineage, matching, relevance, scenes, suggest
+from ..operators import activation, audit, delivery, dense, evaluation, filters, grades, keyedit, lexical, lineage, matching, relevance, scenes, studies, suggest
 from ..sources import bundles, index
 from ..session import checkpointed, stored, table
 from ..streaming import latches
@@ -397,6 +397,48 @@ def rank_gaps(spark, d):
     return relevance.rank_gaps(_signals(spark, d).select("scene_id", "item_id", "score"), ["scene_id"], "item_id").select("scene_id", "item_id", "rank", F.round("gap", 6).alias("gap"))
 
 
+@query
+def judge_agreement(spark, d):
+    v = grades.verdicts(table(spark, d, "graded_entries"), table(spark, d, "scene_raters"))
+    out = studies.judge_agreement(grades.rater_pairs(v, ["item_id"]), ["rater_a", "rater_b"])
+    return out.select("rater_a", "rater_b", "n", *[F.round(c, 6).alias(c) for c in ("exact", "within_one", "precision", "recall")])
+
+
+@query
+def tier_recall(spark, d):
+    tiers = table(spark, d, "books").select(F.col("world").alias("book"), "tier")
+    rows = _signals(spark, d).join(tiers, "book").withColumn("delivered", F.col("score") >= 15)
+    return studies.tier_recall(rows, ["tier", "book"]).select("tier", "book", "relevant", "found", F.round("recall", 6).alias("recall"))
+
+
+@query
+def delivered_f2(spark, d):
+    rows = _signals(spark, d).withColumn("delivered", F.col("score") >= 15)
+    return studies.delivered_f2(rows, ["scene_id"]).select("scene_id", F.round("f2", 6).alias("f2"))
+
+
+@query
+def match_rate_bands(spark, d):
+    counts = audit.chat_counts(_entries(spark, d), _live(spark, d))
+    return studies.rate_bands(counts, F.col("messages_with"))
+
+
+@query
+def scan_scenes(spark, d):
+    return studies.synthetic_scenes(_messages(spark, d), 10).select("chat_id", "msg_id", F.length("scan").alias("chars"))
+
+
+@query
+def unreached_spellings(spark, d):
+    return audit.unreached_spellings(_entries(spark, d))
+
+
+@query
+def substring_shares(spark, d):
+    texts = _live(spark, d).select(F.col("msg_id").cast("string").alias("seg_id"), F.col("mes").alias("text"))
+    return audit.substring_shares(matching.key_table(_entries(spark, d)), texts)
+
+
 # --- layout, budget ----------------------------------------------------------------------------------------------------------
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scenes import sliding
+
 OUTPUT = "chat_id string, entry_id long, at int, state string"
 STATE = "first int, end int"
 
@@ -60,5 +62,4 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 def turn_windows(messages: DataFrame, depth: int) -> DataFrame:
     """``messages`` with said, the texts of the last ``depth`` messages up to each one: a sliding window by count."""
-    w = Window.partitionBy("chat_id").orderBy("t", "msg_id").rowsBetween(-(depth - 1), 0)
-    return messages.withColumn("said", F.collect_list("mes").over(w))
+    return sliding(messages, "chat_id", ["t", "msg_id"], depth, "mes", "said")
