@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.dates import parsed_date
+from ..session import stored
 
 #: clock order of the messages of a chat; msg_id settles equal or missing times
 ORDER = ("t", "msg_id")
@@ -67,7 +68,8 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``rows`` with back, the place of each row in its key counted from the end, without gathering a key in one task."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(key), *[F.col(c).desc() for c in order]]
-    placed = rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id())
+    # written once: a second run of the sampling, or partitions joined at run time, would give other part numbers
+    placed = stored(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "placed")
     local = Window.partitionBy(key, "part").orderBy(*by[1:])
     sizes = placed.groupBy(key, "part").agg(F.count(F.lit(1)).alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
