@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 4_000_000
 NEVER = 1 << 60
+PAIRS_KEPT = 1_000_000  # answers of may_follow that a worker remembers
 
 
 class Vocabulary:
@@ -86,6 +87,8 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
+            if len(self._follows) >= PAIRS_KEPT:
+                self._follows.clear()
             self._follows[key] = known
         return known
 

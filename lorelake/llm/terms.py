@@ -121,7 +121,7 @@ def term_counts(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def marked_terms(recs: DataFrame, common: dict[str, float]) -> DataFrame:
     """Counts of every term with its mark: ``rare`` in exactly one record, ``common`` in at least the field's share of records, else null."""
     counts, sizes = term_counts(recs)
-    share = F.create_map(*[F.lit(x) for pair in common.items() for x in pair])
-    enough = F.col("n_records") >= F.element_at(share, F.col("field")) * F.col("records")
+    share = F.create_map(*[F.lit(x) for field, part in common.items() for x in (field, round(part * 1000))])
+    enough = F.col("n_records") * 1000 >= F.element_at(share, F.col("field")) * F.col("records")  # in thousandths: no rounding at the edge
     mark = F.when(F.col("n_records") == 1, "rare").when(enough, "common")  # one record is rare even where it is a large share
     return counts.join(F.broadcast(sizes), "field").select("field", "term", "n_occurrences", "n_records", mark.alias("mark"))
