@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,7 +55,7 @@ def _block_search(queries: np.ndarray, ids: np.ndarray, mean: np.ndarray | None,
         best_score, best_id = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
         for b in batches:
             v = b.column(1)
-            fit = np.flatnonzero(np.asarray(pa.compute.list_value_length(v).fill_null(0)) == q.shape[1])
+            fit = np.flatnonzero(np.asarray(pc.list_value_length(v).fill_null(0)) == q.shape[1])
             if not len(fit):
                 continue
             x = np.asarray(v.take(pa.array(fit)).flatten(), dtype=float).reshape(len(fit), -1)
@@ -69,8 +70,6 @@ def _block_search(queries: np.ndarray, ids: np.ndarray, mean: np.ndarray | None,
         keep = np.isfinite(best_score)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(best_id[keep]), pa.array(best_score[keep])], names=["query_id", "vec_id", "score"])
 
-    import pyarrow.compute  # noqa: F401
-
     return run
 
 
@@ -95,8 +94,6 @@ def search(queries: DataFrame, base: DataFrame, k: int, centre: bool = False, bl
         if not rows:
             return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
         out = over(rows) if out is None else out.unionByName(over(rows))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

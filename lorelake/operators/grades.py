@@ -19,7 +19,7 @@ def in_force(rows: DataFrame, by: list[str]) -> DataFrame:
     valid = rows.filter("valid AND kind IN ('human', 'llm')")
     human = F.max_by("grade", F.when(F.col("kind") == "human", F.col("pos")))
     llm = lambda c: F.when(F.col("kind") == "llm", F.col(c))
-    agg = valid.groupBy(*by).agg(human.alias("human"), F.count(llm("grade")).alias("n"), F.percentile_disc(llm("grade"), 0.5).alias("median") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN kind = 'llm' THEN grade END)").alias("median"), F.max_by("grade", llm("pos")).alias("latest"))
+    agg = valid.groupBy(*by).agg(human.alias("human"), F.count(llm("grade")).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN kind = 'llm' THEN grade END)").alias("median"), F.max_by("grade", llm("pos")).alias("latest"))
     human_ok = F.col("human").isNotNull()
     grade = F.when(human_ok, F.col("human")).when(F.col("n") >= 3, F.col("median").cast("int")).otherwise(F.col("latest"))
     rule = F.when(human_ok, "human").when(F.col("n") >= 3, "median").otherwise("latest")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -238,8 +238,6 @@ def bm25_topk(spark, d):
     asked = table(spark, d, "eval_items").select("item_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     scores = lexical.bm25(asked, docs, "doc_id", "item_id", stopword_df=CFG.stopword_df).withColumn("score", F.round("score", 5))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
 

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import QUOTE_FAMILIES, SPELLED, _flat, expand_macros, fold_text, has_macro, key_variants, mask_tags, ortho_text
+from ..functions.text import QUOTE_FAMILIES, SPELLED, expand_macros, fold_text, has_macro, key_variants, mask_tags, ortho_text
 
 MAX_DEPTH = 100
 #: class of the characters of a word, by boundary mode

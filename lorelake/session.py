@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -53,8 +52,3 @@ def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cpu_slots(spark: SparkSession) -> int:
-    """Tasks the session can run at a time, as Spark reports it."""
-    return max(1, spark.sparkContext.defaultParallelism, os.cpu_count() or 1 if spark.sparkContext.master.startswith("local[") else 1)
