@@ -66,21 +66,25 @@ def pass_messages(edges: DataFrame, tolerance: float = TOLERANCE, max_rounds: in
     spread = F.element_at(_each(lambda k: F.lit(SMOOTH / 2 * share[k])), F.col("grade") + 1)
     prior = lambda k: spread + F.when(F.col("grade") == k, SMOOTH / 2).otherwise(0.0)
     votes = edges.groupBy("item_id").agg(_each(lambda k: F.avg((F.col("grade") == k).cast("double"))).alias("p"))
-    sent = checkpointed(edges.join(votes, "item_id").select("item_id", "rater_id", "grade", "p"))
+    # a belief travels as four-byte numbers; what an annotator lends is made anew on either side of the shuffle, from the broadcast totals
+    small = lambda c: F.transform(c, lambda x: x.cast("float"))
+    lend = _each(lambda k: F.log((F.get("inside", F.lit(k)) - F.get("p", F.lit(k)) + prior(k)) / (F.get("in_all", F.lit(k)) - F.get("p", F.lit(k)) + SMOOTH)))
+    sent = checkpointed(edges.join(votes, "item_id").select("item_id", "rater_id", "grade", small("p").alias("p")))
     for rounds in range(1, max_rounds + 1):
         table = checkpointed(_annotators(sent))
-        e = sent.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, ["rater_id", "grade"])
-        lend = _each(lambda k: F.log((F.get("inside", F.lit(k)) - F.get("p", F.lit(k)) + prior(k)) / (F.get("in_all", F.lit(k)) - F.get("p", F.lit(k)) + SMOOTH)))
-        e = e.select("item_id", "rater_id", "grade", "p", lend.alias("lend"))
+        totals = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+        e = sent.join(totals, ["rater_id", "grade"]).select("item_id", lend.alias("lend"))
         items = e.groupBy("item_id").agg(_each(lambda k: F.sum(F.get("lend", F.lit(k))) + F.log(F.lit(share[k]))).alias("all"), F.count(F.lit(1)).alias("n"))
-        items = items.select("item_id", "all", "n", _softmax("all").alias("whole"))
-        back = e.join(items, "item_id").withColumn("rest", F.zip_with("all", "lend", lambda a, b: a - b)).withColumn("after", _softmax("rest"))
+        items = checkpointed(items.select("item_id", "all", "n", _softmax("all").alias("whole")))
+        back = sent.join(items.select("item_id", "all"), "item_id").join(totals, ["rater_id", "grade"])
+        back = back.withColumn("rest", F.zip_with("all", lend, lambda a, b: a - b)).withColumn("after", _softmax("rest"))
         moved = F.aggregate(F.zip_with("after", "p", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / len(CLASSES)
-        sent = checkpointed(back.select("item_id", "rater_id", "grade", F.col("after").alias("p"), moved.alias("moved"), "whole", "n"))
-        now = sent.agg(F.avg("moved").alias("moved"), F.sum(1 / F.col("n")).alias("items"), *[F.sum(F.get("whole", F.lit(k)) / F.col("n")).alias(f"c{k}") for k in CLASSES]).first()
-        if not now.items or now.moved < tolerance:
+        sent = checkpointed(back.select("item_id", "rater_id", "grade", small("after").alias("p"), moved.cast("float").alias("moved")))
+        settled = (sent.agg(F.avg("moved")).first()[0] or 0.0) < tolerance
+        now = items.agg(*[F.avg(F.get("whole", F.lit(k))).alias(f"c{k}") for k in CLASSES]).first()
+        if settled or now.c0 is None:
             break
-        share = [max(now[f"c{k}"] / now["items"], 1e-6) for k in CLASSES]
+        share = [max(now[f"c{k}"], 1e-6) for k in CLASSES]
     return items.select("item_id", "n", F.col("whole").alias("p")), table, rounds
 
 
