@@ -19,6 +19,7 @@ from ..plans import smartkeys as S
 from ..session import stored
 
 PATTERN_BLOCK = 200_000  # patterns an automaton holds; more go in further passes
+KEY_BLOCK = 20_000  # expressions and patterns evaluated in one pass; more go in further passes
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +175,83 @@ def unit_counts(segments: DataFrame, keys: DataFrame) -> DataFrame:
     return literal_hits(segments, keys).groupBy("form").agg(F.count(F.lit(1)).alias("units"))
 
 
+def _tree(key: str) -> S.Node | None:
+    try:
+        return S.leaf(key)
+    except S.TooDeep:
+        return None
+
+
+def _evaluated(block: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = [_tree(k) for k in block]
+        always, by_form = [], {}
+        for i, tree in enumerate(trees):
+            forms = [f for f in S.literals(tree) if f] if S.needs_term(tree) else []
+            for f in forms:
+                by_form.setdefault(f, set()).add(i)
+            if not forms:
+                always.append(i)
+        names = list(by_form)
+        auto = _automaton(names)
+        for b in batches:
+            rows = []
+            for seg_id, text in zip(b.column("seg_id").to_pylist(), b.column("text").to_pylist()):
+                asked = set(always)
+                for form in {i for _, (i, _) in auto.iter(T.fold_text(T.mask_tags(text or "")))} if names else ():
+                    asked |= by_form[names[form]]
+                seg = S.Segment(text or "")
+                rows += [(block[i], seg_id) for i in sorted(asked) if seg.raw and S.evaluate(trees[i], seg).matched]
+            cols = list(zip(*rows)) if rows else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["key", "seg_id"])
+
+    return run
+
+
+def evaluated_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, seg_id): segments (seg_id, text) that the usable expressions and patterns of the keys match, in one pass a block of keys.
+
+    An expression that no text matches without one of its terms is asked only where the automaton reports a term, all others everywhere.
+    """
+    out, block = None, []
+
+    def over(part: list[str]) -> DataFrame:
+        return segments.select("seg_id", "text").mapInArrow(_evaluated(part), "key string, seg_id string")
+
+    for r in keys.filter("usable AND kind <> 'literal'").select("key").distinct().toLocalIterator():
+        block.append(r.key)
+        if len(block) == KEY_BLOCK:
+            out, block = (over(block) if out is None else out.unionByName(over(block))), []
+    if block or out is None:
+        last = over(block) if block else segments.sparkSession.createDataFrame([], "key string, seg_id string")
+        out = last if out is None else out.unionByName(last)
+    return out
+
+
+def _evaluated_in_book(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees: dict[str, S.Node | None] = {}
+    for b in batches:
+        rows = []
+        for world, keys, text in zip(*(b.column(c).to_pylist() for c in ("world", "keys", "text"))):
+            seg = S.Segment(text)
+            for k in keys:
+                if k not in trees:
+                    if len(trees) > 50_000:
+                        trees.clear()
+                    trees[k] = _tree(k)
+                r = S.evaluate(trees[k], seg)
+                if r.matched:
+                    rows.append((world, k, float(r.boost or 1)))
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.float64()])], names=["world", "key", "n"])
+
+
+def evaluated_counts(segments: DataFrame, keys: DataFrame) -> DataFrame:
+    """(world, key, n): for each segment (world, text) that a usable expression or pattern of its book matches, the weight or the occurrences."""
+    asked = keys.filter("usable AND kind <> 'literal'").groupBy("world").agg(F.collect_set("key").alias("keys"))
+    return segments.select("world", "text").join(asked, "world").select("world", "keys", "text").mapInArrow(_evaluated_in_book, "world string, key string, n double")
+
+
 def excerpts(texts: DataFrame, key: str, width: int = 40, cased: bool = False, whole: bool = False) -> DataFrame:
     """(row_id, at, until, excerpt): each occurrence of a key's terms in texts (row_id, text), with its surroundings and the match in guillemets."""
 

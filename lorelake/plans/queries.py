@@ -499,12 +499,24 @@ def key_listed_by(spark, d):
 
 @query
 def key_book_counts(spark, d):
+    """The literal keys, as its SQL has no evaluator; key_book_counts_all has every key."""
+    return audit.book_counts(_entries(spark, d)).filter("kind = 'literal'").select("world", "key", "df", F.col("total").cast("long").alias("total"), "typed")
+
+
+@query
+def key_book_counts_all(spark, d):
     return audit.book_counts(_entries(spark, d))
 
 
 @query
 def key_chat_counts(spark, d):
-    return audit.chat_counts(_entries(spark, d), _live(spark, d)).select("key", "messages_with")
+    """The literal keys, as its SQL has no evaluator; key_chat_counts_all has every key."""
+    return audit.chat_counts(_entries(spark, d), _live(spark, d)).filter("kind = 'literal'").select("key", "messages_with")
+
+
+@query
+def key_chat_counts_all(spark, d):
+    return audit.chat_counts(_entries(spark, d), _live(spark, d))
 
 
 @query
@@ -514,7 +526,7 @@ def audit_flags(spark, d):
 
 @query
 def audit_severities(spark, d):
-    return audit.flags(_entries(spark, d), function_words=["the", "of", "a", "and", "to", "in"]).groupBy("flag", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return audit.flags(_entries(spark, d), _live(spark, d), function_words=["the", "of", "a", "and", "to", "in"]).groupBy("flag", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

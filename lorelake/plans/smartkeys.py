@@ -731,3 +731,12 @@ def compile_match(node: Node | None, folded: Column, ortho_: Column, raw: Column
 def literals(node: Node | None) -> list[str]:
     """Folded forms of all terms, for the automaton."""
     return [fold_text(v) for n in walk(node) if n.op == "TERM" for v in key_variants(n.value) if v]
+
+
+def needs_term(node: Node | None) -> bool:
+    """Whether no text without one of the expression's terms can match it."""
+    if node is None:
+        return True
+    if node.optional or node.op in ("REGEX", "NOT"):
+        return False
+    return node.op == "TERM" or (any if node.op == "AND" else all)(map(needs_term, node.kids))

@@ -248,6 +248,23 @@ def test_flags(spark, entries):
     assert got[0, "? -x"] == "unusable" and got[0, "lonely"] == "unattested" and (0, "Odd Name") not in got and got[0, "of the"] == "fragment" and got[0, "is"] == "short" and got[1, "gate"] == "book common"
 
 
+def test_counts_of_expressions_and_patterns(spark, entries):
+    keys = ["? lantern OR /br[iy]dge/", "? -harbor", "/gate\\d/", "? (lantern gate1)~3", "? lantern::2", "oak", "? ("]
+    df = entries([{"key": keys, "content": "lantern lantern"}, {"content": "brydge gate7"}, {"content": "harbor"}, {"world": "v", "key": ["/oak/"], "content": "oak"}])
+    chat = spark.createDataFrame([(1, "a brydge"), (2, "the lantern by gate1"), (3, "harbor gate2 gate3")], "msg_id long, mes string")
+    texts = [r.mes for r in chat.collect()]
+    got = {r.key: (r.messages_with, r.messages) for r in audit.chat_counts(df, chat).collect()}
+    usable = [k for k in [*keys, "/oak/"] if not S.fatal(k)]
+    assert got == {k: (sum(S.count_key(k, t) > 0 for t in texts), 3) for k in usable}
+    assert got[keys[0]] == (2, 3) and got[keys[2]] == (2, 3) and got[keys[3]] == (1, 3)
+    book = {(r.world, r.key): (r.df, r.total) for r in audit.book_counts(df).collect()}
+    assert book["w", keys[0]][0] == 2 and book["w", keys[2]] == (1, 1) and book["w", keys[4]] == (1, 4) and book["v", "/oak/"] == (1, 1) and book["w", "oak"] == (0, 0)
+    flags = {r.key: (r.flag, r.severity) for r in audit.flags(df, chat).collect()}
+    assert flags[keys[0]] == ("chat common", "severe") and flags[keys[2]] == ("chat common", "severe")
+    ten = entries([{"key": ["/xyzzy/", "/gate/"], "content": "gate"}] + [{"content": "gate"}] * 9)
+    assert {r.key: r.flag for r in audit.flags(ten).collect()} == {"/xyzzy/": "unattested", "/gate/": "book common"}
+
+
 def test_suggestions(spark, entries):
     filler = [{"content": f"The clerk walks by the quiet river {i} and counts old coins."} for i in range(12)]
     df = entries([{"content": "We met Tarn Oldway at noon. Then Tarn Oldway sang. Later Tarn Oldway left.", "key": ["noon"]}, *filler])
