@@ -190,9 +190,10 @@ def keyword_activation(spark, d):
 
 @query
 def recursion_closure(spark, d):
+    """All that the entries a chat's window activates reach, to the fixpoint."""
+    segs, scene_of = _scenes(spark, d)
     entries = scenes.current_entries(_entries(spark, d))
-    seeds = entries.filter("uid % 10 = 0").select(F.col("world").alias("chat_id"), "entry_id")
-    return activation.recursion(entries, seeds, max_steps=3)
+    return activation.recursion(entries, activation.activated(entries, segs, scene_of).select("chat_id", "entry_id"))
 
 
 @query
