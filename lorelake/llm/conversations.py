@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parsed_date
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .terms import counted_messages
 
 
@@ -64,12 +64,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(u, v) message ids: a text whose opening lines, marked ``> ``, repeat another message as a whole."""
+    """(u, v) message ids: a text whose opening lines, marked ``> ``, repeat another message as a whole.
+
+    A quote of less than 20 characters counts where just one message has that text: ``> yes`` names no message if many say yes.
+    """
     bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     quoted = bare(F.regexp_replace(F.regexp_extract("mes", r"^((?:> ?[^\n]*(?:\n|$))+)", 1), r"(?m)^> ?", ""))
-    quotes = messages.select(F.col("msg_id").alias("u"), F.md5(quoted).alias("h"), F.length(quoted).alias("n")).filter("n >= 20")
-    texts = messages.groupBy(F.md5(bare(F.col("mes"))).alias("h")).agg(F.min("msg_id").alias("v"))  # copies of a text are one target
-    return quotes.join(texts, "h").filter("u <> v").select("u", "v")
+    quotes = messages.select(F.col("msg_id").alias("u"), F.md5(quoted).alias("h"), F.length(quoted).alias("n")).filter("n > 0")
+    texts = messages.groupBy(F.md5(bare(F.col("mes"))).alias("h")).agg(F.min("msg_id").alias("v"), F.count(F.lit(1)).alias("copies"))  # copies of a text are one target
+    return quotes.join(texts, "h").filter("u <> v AND (n >= 20 OR copies = 1)").select("u", "v")
 
 
 def assign_conversations(messages: DataFrame, replies: DataFrame | None = None) -> DataFrame:
@@ -96,6 +99,16 @@ def assign_conversations(messages: DataFrame, replies: DataFrame | None = None)
     return rest.unionByName(given.withColumn("chat_id", F.col("found_chat")).select(*messages.columns))
 
 
+def _conversations(chats: DataFrame, messages: DataFrame, replies: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The messages with their conversations, and (chat_id) of all conversations to judge: the chats and the components without a known chat."""
+    known = assign_conversations(messages, replies)
+    if known is messages:
+        return messages, chats.select("chat_id")
+    known = stored(known, "assigned")
+    rebuilt = known.select("chat_id").dropna().distinct().join(messages.select("chat_id").dropna().distinct(), "chat_id", "left_anti")
+    return known, chats.select("chat_id").unionByName(rebuilt.join(chats.select("chat_id"), "chat_id", "left_anti"))
+
+
 def _said(messages: DataFrame) -> DataFrame:
     """(chat_id, t, is_user, sig) and the columns kept: the rows that count, sig alike for copies of one message."""
     same = F.struct(F.unhex(F.md5(F.to_json(F.struct("name", "is_user", "is_system", "send_date", "mes")))).alias("m")).m
@@ -136,9 +149,17 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def conversation_faults(chats: DataFrame, messages: DataFrame) -> DataFrame:
-    """(chat_id, fault) of the chats that aren't sound; fault is empty, broken, one_sided or unanswered, the first that holds."""
-    said = _said(assign_conversations(messages)).select("chat_id", "t", "is_user", "sig")
+def conversation_faults(chats: DataFrame, messages: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """(chat_id, fault) of the conversations that aren't sound; fault is empty, broken, one_sided or unanswered, the first that holds.
+
+    Conversations are the chats and the components that touch no known chat.
+    """
+    known, ids = _conversations(chats, messages, replies)
+    return _faults(ids, known)
+
+
+def _faults(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    said = _said(messages).select("chat_id", "t", "is_user", "sig")
     order = [F.col("chat_id"), F.col("t"), F.col("is_user").desc(), F.col("sig")]
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = said.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(
@@ -171,14 +192,14 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep)).select(["chat_id", "t", "msg_id", "is_user", "name", "mes"])
 
 
-def conversation_rows(chats: DataFrame, messages: DataFrame) -> DataFrame:
-    """The messages of the sound chats as (chat_id, t, msg_id, role, name, mes), copies dropped, in time order within a chat.
+def conversation_rows(chats: DataFrame, messages: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """The messages of the sound conversations as (chat_id, t, msg_id, role, name, mes), copies dropped, in time order within a chat.
 
     The result is range-partitioned and sorted by chat and time, so it can be written as it is; msg_id breaks no order, as t,
     role and content hash settle it.
     """
-    known = assign_conversations(messages)
-    sound = chats.select("chat_id").join(conversation_faults(chats, messages), "chat_id", "left_anti")
+    known, ids = _conversations(chats, messages, replies)
+    sound = ids.join(_faults(ids, known), "chat_id", "left_anti")
     said = _said(known).join(sound, "chat_id", "left_semi").select("chat_id", "t", "is_user", "sig", "msg_id", "name", "mes")
     order = [F.col("chat_id"), F.col("t"), F.col("is_user").desc(), F.col("sig")]
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -72,3 +72,16 @@ def test_lacking_identifiers(spark, make_messages):
     replies = spark.createDataFrame([(4, 2), (6, 5), (5, None)], "msg_id long, reply_to long")
     got = {r.msg_id: r.chat_id for r in C.assign_conversations(make_messages(rows), replies).collect()}
     assert got == {1: "c1", 2: "c1", 3: "component-3", 4: "c1", 5: "component-5", 6: "component-5"}
+
+
+def test_rebuilt_conversations_are_judged_and_returned(spark, make_messages):
+    rows = [
+        (1, None, True, None, D.format(1), "hi"), (2, None, False, None, D.format(2), "> hi\nho"), (3, None, True, None, D.format(3), "left alone"),
+        (4, None, True, None, D.format(4), "same"), (5, None, True, None, D.format(5), "same"), (6, None, False, None, D.format(6), "> same\nx"),
+        (7, None, True, None, D.format(7), "asks"), (8, None, False, None, D.format(8), "answers"), (9, "c", True, None, D.format(9), "y"), (10, "c", False, None, D.format(10), "z"),
+    ]
+    replies = spark.createDataFrame([(8, 7)], "msg_id long, reply_to long")
+    got = {(r.chat_id, r.msg_id) for r in C.conversation_rows(_chats(spark, ["c"]), make_messages(rows), replies).collect()}
+    assert got == {("component-1", 1), ("component-1", 2), ("component-7", 7), ("component-7", 8), ("c", 9), ("c", 10)}
+    faults = {r.chat_id: r.fault for r in C.conversation_faults(_chats(spark, ["c"]), make_messages(rows), replies).collect()}
+    assert faults == {f"component-{i}": "one_sided" for i in (3, 4, 5, 6)}
