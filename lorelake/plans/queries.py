@@ -537,7 +537,7 @@ def unusable_secondary(spark, d):
 
 @query
 def near_duplicates(spark, d):
-    return audit.near_duplicates(_entries(spark, d), threshold=0.8)
+    return audit.near_duplicates(_entries(spark, d))
 
 
 @query

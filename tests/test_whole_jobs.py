@@ -29,3 +29,10 @@ def test_recursion_starts_in_chats_and_goes_on(spark, tables):
     book = [(["unsaid"], "amber")] + [([a], b) for a, b in zip(names, [*names[1:], "the end"])]
     d = tables(book_entries=_book(book), chats=([("c", "w"), ("e", None)], "chat_id string, world_info string"), chat_messages=([(1, "c", "A", True, False, "1709251200000", "some amber")], MESSAGE))
     assert {(r.chat_id, r.entry_id): r.depth for r in QUERIES["recursion_closure"](spark, d).collect()} == {("c", i + 1): i for i in range(7)}
+
+
+def test_near_duplicates_at_the_reference_threshold(spark, tables):
+    word = lambda i: f"word{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    texts = [" ".join(map(word, range(a, b))) for a, b in ((0, 60), (20, 80), (90, 150))]  # the first two share 40 of 80
+    d = tables(book_entries=_book([([], t) for t in [*texts, "too short", None]]))
+    assert {r.entry_id: (r.class_id, r.links) for r in QUERIES["near_duplicates"](spark, d).collect()} == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
