@@ -98,6 +98,63 @@ def search(queries: DataFrame, base: DataFrame, k: int, centre: bool = False, bl
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _block_pool(queries: np.ndarray, ids: np.ndarray, mean: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = queries - mean if mean is not None else queries
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        best: dict = {}  # label: best score and its row, for each query
+        for b in batches:
+            own, v = np.asarray(b.column(0)), b.column(1)
+            scores = np.zeros((len(ids), b.num_rows))  # a vector of another size or without length scores 0
+            fit = np.flatnonzero(np.asarray(pc.list_value_length(v).fill_null(0)) == q.shape[1])
+            if len(fit):
+                x = np.asarray(v.take(pa.array(fit)).flatten(), dtype=float).reshape(len(fit), -1)
+                x = x - mean if mean is not None else x
+                norm = np.linalg.norm(x, axis=1)
+                scores[:, fit] = np.where(norm > 0, (q @ x.T) / np.where(norm > 0, norm, 1), 0.0)
+            rows: dict = {}
+            for i, label in enumerate(b.column(2).to_pylist()):
+                rows.setdefault(label, []).append(i)
+            for label, at in rows.items():
+                at = np.array(at)[np.argsort(-own[at], kind="stable")]  # equal scores: the largest id, as best_chunk
+                part = scores[:, at].round(9)
+                top = part.argmax(1)
+                score, vec = part.max(1), own[at][top]
+                if label in best:
+                    s, i = best[label]
+                    old = (s > score) | ((s == score) & (i > vec))
+                    score, vec = np.where(old, s, score), np.where(old, i, vec)
+                best[label] = score, vec
+        for label, (score, vec) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([label] * len(ids), pa.int32()), pa.array(score), pa.array(vec, pa.int64())], names=["query_id", "label", "score", "vec_id"])
+
+    return run
+
+
+def pooled_search(queries: DataFrame, base: DataFrame, by: str, centre: bool = True, block: int = 2048, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, by, score, vec_id): the best row of each label of ``base`` for each query by cosine, the query's own row included.
+
+    The queries go over the base in blocks as in ``search``; each task keeps one row a query and label.
+    """
+    mean = np.array(corpus_mean(base, vector).first().mean or [], float) if centre else None
+    out, rows = None, []
+
+    def over(part: list) -> DataFrame:
+        ids, vs = np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], float)
+        return base.select(F.col(id_col).cast("long"), vector, F.col(by).cast("int")).mapInArrow(_block_pool(vs, ids, mean), "query_id long, label int, score double, vec_id long")
+
+    for r in queries.select(F.col(id_col).cast("long"), vector).toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            out, rows = (over(rows) if out is None else out.unionByName(over(rows))), []
+    if rows:
+        out = over(rows) if out is None else out.unionByName(over(rows))
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "query_id long, label int, score double, vec_id long")
+    best = F.max(F.struct("score", "vec_id")).alias("b")
+    return out.groupBy("query_id", "label").agg(best).select("query_id", F.col("label").alias(by), "b.*")
+
+
 def select_top(scores: DataFrame, k: int, collection: str, hash_col: str, score: str = "score") -> DataFrame:
     """The k best pooled rows over all collections, one a (collection, hash); rows without a hash can't be resolved and go."""
     top = scores.orderBy(F.col(score).desc(), collection, hash_col).limit(k)

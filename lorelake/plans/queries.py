@@ -292,6 +292,13 @@ def pooled_cosine(spark, d):
     return lexical.best_chunk(scored, ["label"]).select("label", F.round("score", 6).alias("score"), "vec_id")
 
 
+@query
+def pooled_cosine_all(spark, d):
+    """``pooled_cosine`` for all searches, not only for the row its SQL names."""
+    hits = dense.pooled_search(_asked(spark, d), table(spark, d, "embeddings"), "label")
+    return hits.select("query_id", "label", F.round("score", 6).alias("score"), "vec_id")
+
+
 @query
 def label_centroids(spark, d):
     means = dense.corpus_mean(table(spark, d, "embeddings"), by=["label"])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from lorelake.plans.queries import QUERIES
@@ -36,3 +37,21 @@ def test_near_duplicates_at_the_reference_threshold(spark, tables):
     texts = [" ".join(map(word, range(a, b))) for a, b in ((0, 60), (20, 80), (90, 150))]  # the first two share 40 of 80
     d = tables(book_entries=_book([([], t) for t in [*texts, "too short", None]]))
     assert {r.entry_id: (r.class_id, r.links) for r in QUERIES["near_duplicates"](spark, d).collect()} == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
+
+
+def test_pooled_cosine_of_all_searches(spark, tables):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(301, 8)).astype("float32")
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)]
+    d = tables(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    c = x.astype(float) - x.astype(float).mean(0)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    want = {}
+    for q in (0, 100, 200, 300):
+        for label in range(4):
+            at = np.arange(label, 301, 4)
+            best = at[(c[at] @ c[q]).argmax()]
+            want[q, label] = (int(best), round(float(c[best] @ c[q]), 5))
+    got = {(r.query_id, r.label): (r.vec_id, round(r.score, 5)) for r in QUERIES["pooled_cosine_all"](spark, d).collect()}
+    assert got == want
+    assert {(0, r.label): (r.vec_id, round(r.score, 5)) for r in QUERIES["pooled_cosine"](spark, d).collect()} == {k: v for k, v in want.items() if k[0] == 0}
