@@ -476,7 +476,6 @@ def compiled(key: str) -> regex.Pattern | None:
         return None
 
 
-PATTERN_SECONDS = 5.0  # a pattern may take so long on one text; beyond it counts as no match
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------------------
@@ -508,10 +507,8 @@ class Segment:
         if key not in self._cache:
             if node.op == "REGEX":
                 p = compiled(node.value)
-                try:
-                    self._cache[key] = [m.span() for m in p.finditer(self.nfc, timeout=PATTERN_SECONDS)] if p else []
-                except TimeoutError:
-                    self._cache[key] = []
+                # without a time limit: a match must not depend on the machine's speed
+                self._cache[key] = [m.span() for m in p.finditer(self.nfc)] if p else []
             else:
                 hay = self.ortho if node.cased else self.folded
                 p = term_pattern(node.value, node.exact, node.cased, self.mode)

@@ -1,3 +1,4 @@
+import re
 import math
 
 import pytest
@@ -75,3 +76,14 @@ def test_compiled_columns_agree(spark):
     for key in ["? gate", "? =gate OR harbor", "? gate -lantern", "? gate XOR lantern", "? ^GATE", "? gate lantern?", "? /g.t\\b/", "? ray-ban"]:
         got = {r.i for r in df.filter(S.compile_match(S.build(key), T.fold(hay), T.ortho(hay), F.col("t"))).collect()}
         assert got == {i for i, t in enumerate(texts) if S.count_key(key, t)}, key
+
+
+def test_a_slow_pattern_still_counts(monkeypatch):
+    class Slow:
+        def finditer(self, text, timeout=None):
+            if timeout is not None:
+                raise TimeoutError
+            return re.finditer("gate", text)
+
+    monkeypatch.setattr(S, "compiled", lambda key: Slow())
+    assert S.count_key("/gate/", "gate by gate") == 2
