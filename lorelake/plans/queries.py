@@ -614,9 +614,15 @@ def book_chat_bindings(spark, d):
 
 @query
 def book_fingerprints(spark, d):
+    """Without the hash, which its SQL doesn't have; book_fingerprints_all has it."""
     return lineage.book_fingerprints(_entries(spark, d)).select("world", "entries", "chars")
 
 
+@query
+def book_fingerprints_all(spark, d):
+    return lineage.book_fingerprints(_entries(spark, d))
+
+
 @query
 def union_arms(spark, d):
     v = grades.verdicts(table(spark, d, "graded_entries"), table(spark, d, "scene_raters")).filter("kind IS NOT NULL")

@@ -476,8 +476,6 @@ def compiled(key: str) -> regex.Pattern | None:
         return None
 
 
-
-
 # --- evaluation --------------------------------------------------------------------------------------------------------------
 
 

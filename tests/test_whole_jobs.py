@@ -55,3 +55,10 @@ def test_pooled_cosine_of_all_searches(spark, tables):
     got = {(r.query_id, r.label): (r.vec_id, round(r.score, 5)) for r in QUERIES["pooled_cosine_all"](spark, d).collect()}
     assert got == want
     assert {(0, r.label): (r.vec_id, round(r.score, 5)) for r in QUERIES["pooled_cosine"](spark, d).collect()} == {k: v for k, v in want.items() if k[0] == 0}
+
+
+def test_fingerprints_tell_contents_apart(spark, tables):
+    rows = [(i, w, u, [], [], 0, None, c, None, None, None, dt.datetime(2025, 1, 1)) for i, (w, u, c) in enumerate([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("b", 1, "z")])]
+    d = tables(book_entries=(rows, ENTRY))
+    got = {r.world: r for r in QUERIES["book_fingerprints_all"](spark, d).collect()}
+    assert got["a"].entries == got["b"].entries == 2 and got["a"].fingerprint != got["b"].fingerprint
