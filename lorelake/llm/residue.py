@@ -147,20 +147,20 @@ keys for list the short name then the form a key that fires in every message tel
 
 # The written forms of an unfilled slot, each with its token. The macros user and char are ordinary chat.
 SLOTS = [
-    (re.compile(r"\[\s*insert\b[^\]\n]{0,60}\]", re.I), " slot:insert "),
-    (re.compile(r"\[\s*your\b[^\]\n]{0,60}\bhere\s*\]", re.I), " slot:your "),
-    (re.compile(r"<\s*[\w. ]{1,40}\bgoes here\s*>", re.I), " slot:goes "),
-    (re.compile(r"<%=?[^%\n]{1,60}%>"), " slot:erb "),
+    (re.compile(r"\[\s*insert\b[^\]\n]*\]", re.I), " slot:insert "),
+    (re.compile(r"\[\s*your\b[^\]\n]*\bhere\s*\]", re.I), " slot:your "),
+    (re.compile(r"<\s*[\w. ]+\bgoes here\s*>", re.I), " slot:goes "),
+    (re.compile(r"<%=?[^%\n]+%>"), " slot:erb "),
     (re.compile(r"\{\{\s*(?:user|char)\s*\}\}", re.I), " macro "),
-    (re.compile(r"\{\{[^{}\n]{1,60}\}\}"), " slot:curly "),
-    (re.compile(r"\$\{[^{}\n]{1,60}\}"), " slot:dollar "),
+    (re.compile(r"\{\{[^{}\n]+\}\}"), " slot:curly "),
+    (re.compile(r"\$\{[^{}\n]+\}"), " slot:dollar "),
     (re.compile(r"\{\d{1,2}\}"), " slot:number "),
-    (re.compile(r"\[\[[a-z][a-z0-9_. ]{0,40}\]\]"), " slot:square "),
-    (re.compile(r"%[A-Z][A-Z0-9_.]{1,40}%"), " slot:percent "),
-    (re.compile(r"##[A-Z][A-Z0-9_. ]{1,40}##"), " slot:hash "),
-    (re.compile(r"(?<!\w)__[A-Z][A-Z0-9_. ]{0,40}?__(?!\w)"), " slot:under "),
-    (re.compile(r"<<[\w. ]{1,40}>>"), " slot:angle "),
-    (re.compile(r"@@[\w.]{1,40}@@"), " slot:at "),
+    (re.compile(r"\[\[[a-z][a-z0-9_. ]*\]\]"), " slot:square "),
+    (re.compile(r"%[A-Z][A-Z0-9_.]+%"), " slot:percent "),
+    (re.compile(r"##[A-Z][A-Z0-9_. ]+##"), " slot:hash "),
+    (re.compile(r"(?<!\w)__[A-Z][A-Z0-9_. ]*?__(?!\w)"), " slot:under "),
+    (re.compile(r"<<[\w. ]+>>"), " slot:angle "),
+    (re.compile(r"@@[\w.]+@@"), " slot:at "),
     (re.compile(r"\bTODO\s*:"), " slot:todo "),
 ]
 SLOT_SIGNS = re.compile(r"[\[{<%#$]|TODO|__|@@")
@@ -180,16 +180,18 @@ def slotted(text: str) -> str:
     return text
 
 
-def passages(text: str) -> Iterator[list[str]]:
-    """Terms of the lines and sentences, and of each two and three of them that follow each other."""
+def passages(text: str, longest: int) -> Iterator[list[str]]:
+    """Terms of the lines and sentences, of each two and three of them that follow each other, and of more while they hold at most ``longest`` terms."""
     parts = []
     for p in _cut.split(slotted(text)):
         ts = terms_in(p)
         parts += [ts[i : i + PASSAGE_TERMS] for i in range(0, len(ts), PASSAGE_TERMS // 2)] if len(ts) > PASSAGE_TERMS else [ts] if ts else []
     for i in range(len(parts)):
         run: list[str] = []
-        for p in parts[i : i + 3]:
-            run = run + p
+        for j in range(i, len(parts)):
+            if j >= i + 3 and len(run) + len(parts[j]) > longest:
+                break
+            run = run + parts[j]
             if len(run) <= 2 * PASSAGE_TERMS:
                 yield run
 
@@ -206,6 +208,7 @@ class ExemplarIndex:
         self.labelled = labelled
         self.idf = {t: log(1 + n_docs / (1 + df.get(t, 0))) for _, c in labelled for t in c}
         self.mass = [sum(n * self.idf[t] for t, n in c.items()) for _, c in labelled]
+        self.longest = max((sum(c.values()) for label, c in labelled if label), default=0)
         self.postings: dict[str, list[tuple[int, int]]] = {}
         for e, (_, c) in enumerate(labelled):
             for t, n in c.items():
@@ -218,7 +221,7 @@ class ExemplarIndex:
             text = consistent_form(text)
             if not self.possible(Counter(terms_in(slotted(text)))):
                 return top
-            for p in passages(text):
+            for p in passages(text, self.longest):
                 cover, label, e = self.cover(p)
                 if label and cover >= COVER and cover > top[1]:
                     top = (True, cover, e)

@@ -25,3 +25,11 @@ def test_empty_and_long(spark):
     docs = spark.createDataFrame([(1, "word " * 60_000)], "doc_id long, text string")
     assert [r.residue for r in R.judged(docs).collect()] == [False]
     assert R.judged(docs.limit(0)).count() == 0
+
+
+def test_long_slots_and_wrapped_notices(spark):
+    texts = ["[Insert a two-sentence summary of the faction's history, goals and known members here]", "504\nGateway Timeout\nThe requested\npage /x\ncould not\nbe served."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.residue for r in R.judged(docs).collect()} == {0: True, 1: True}
+    notice = R.terms_in(texts[1])
+    assert notice in list(R.passages(texts[1], 20))
