@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpointed
+from ..session import stored
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -15,17 +15,17 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round a node takes the smallest label among its neighbours and the label of that label (pointer jumping), so paths
     shrink by more than half a round; rounds end when no label moves.
     """
-    both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).withColumnRenamed("u", "node"))
+    both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).withColumnRenamed("u", "node"), "labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("c", "m").alias("c"), F.col("c").alias("old"))
+        step = labels.select("node", "c").join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = step.join(labels.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left").select("node", F.coalesce(F.least("c", "cc"), "c").alias("c"), "old")
-        now = checkpointed(jump)
+        now = stored(jump, "labels", instead=labels)
         moved = now.filter("c <> old").limit(1).count()
-        labels = now.select("node", "c")
+        labels = now
         if not moved:
-            return labels.withColumnRenamed("c", "component")
+            return now.select("node", F.col("c").alias("component"))
     raise RuntimeError("the components did not settle")
 
 

@@ -11,7 +11,7 @@ from ..config import EngineConfig
 from ..functions import text as T
 from ..operators import activation, audit, delivery, dense, evaluation, filters, grades, keyedit, lexical, lineage, matching, relevance, scenes, studies, suggest
 from ..sources import bundles, index
-from ..session import checkpointed, stored, table
+from ..session import stored, table
 from ..streaming import latches
 from . import smartkeys as S
 
@@ -201,7 +201,7 @@ def activate_rank_deliver(spark, d):
     """Keys of a chat's book that fire in its last ten messages, ranked by BM25 of those messages, cut, budgeted, in prompt order."""
     segs, scene_of = _scenes(spark, d)
     entries = scenes.current_entries(_entries(spark, d))
-    fired = checkpointed(activation.activated(entries, segs, scene_of))
+    fired = stored(activation.activated(entries, segs, scene_of), "fired")
     asked = scenes.query_text(_messages(spark, d), CFG.message_depth).select("chat_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
     owned = table(spark, d, "chats").filter("world_info IS NOT NULL").select("chat_id", F.col("world_info").alias("world"))
     post = lexical.postings(scenes.eligible(entries), ["world", "entry_id"], "content")
@@ -210,7 +210,7 @@ def activate_rank_deliver(spark, d):
     terms = asked.join(owned, "chat_id").join(df, ["world", "term"])
     rated = terms.join(fired.select("chat_id", "entry_id"), "chat_id").join(post.drop("world"), ["entry_id", "term"])
     text = rated.groupBy("chat_id", "entry_id").agg(F.sum(lexical.idf(F.col("df"), F.col("ndoc")) * lexical.term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("text"))
-    rows = checkpointed(fired.withColumnRenamed("score", "keys").join(text, ["chat_id", "entry_id"], "left").fillna(0.0, ["text"]))
+    rows = stored(fired.withColumnRenamed("score", "keys").join(text, ["chat_id", "entry_id"], "left").fillna(0.0, ["text"]), "signals")
     rows = relevance.score(rows, ["text", "keys"], [-1.0, 0.9, 0.4], [-2.0, 0.8, 0.3], ["chat_id"])
     kept = relevance.cut(rows, CFG.relevance_cutoff).join(entries.select("entry_id", "uid", "world", "content", "vectorized"), "entry_id")
     items = kept.select(

@@ -18,14 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    temporary folder of this machine made and set as the checkpoint folder.
+    Taken from ``spark.checkpoint.dir``; only where that is unset and all executors are
+    threads of this machine (tests) is a temporary folder made and set as the checkpoint folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
         if current:
             return current.rstrip("/")
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lorelake-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{folder}")
@@ -33,22 +36,47 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, partition_by: list[str] | None = None, instead: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder as Parquet and read it back.
 
-    Cuts lineage like a checkpoint, but compressed, columnar and splittable, so that
-    each reader takes only the columns it needs.
+    Cuts lineage like a checkpoint, but compressed, columnar and splittable, so that each reader takes only the columns it needs; and what the
+    planner knows of it is the size of its files, where a checkpoint keeps the estimate of the plan it came from, which grows without end
+    in a loop of joins. ``instead`` is an earlier result of this function that ``df`` takes the place of; its files are deleted.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if instead is not None:
+        dropped(instead)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files behind a result of ``stored``; whatever still reads them fails."""
+    if path := getattr(df, "_stored_at", None):
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this application has stored. To be called when its results are written; the folder is not emptied otherwise."""
+    _delete(spark, _own_dir(spark))
