@@ -70,6 +70,7 @@ SUSPECT = (
     f"[^{_PLAIN}]|[{_LATIN}][0-9]*[{_CYRILLIC}{_GREEK}]|[{_CYRILLIC}][0-9]*[{_LATIN}{_GREEK}]|[{_GREEK}][0-9]*[{_LATIN}{_CYRILLIC}]"
 )
 SUSPECT_RE = re.compile(SUSPECT)
+COLLATION = "UNICODE"
 
 _emoji = regex.compile(
     r"(?:[0-9#*]️?⃣"
@@ -155,9 +156,10 @@ def consistent_form(text: str | None) -> str | None:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         chunks = b.column("chunk").to_pylist()
-        composed = [chunk_form(c) for c in chunks]
-        columns = [chunks, [mapped_chunk(c) for c in chunks], composed, [_word.sub("x", c) for c in composed]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["chunk", "mapped", "composed", "signature"])
+        mapped = [mapped_chunk(c) for c in chunks]
+        composed = [unicodedata.normalize("NFC", m) for m in mapped]
+        columns = [chunks, mapped, composed, [_word.sub(lambda m: f"<{len(unicodedata.normalize('NFD', m.group()))}>", c) for c in composed]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["chunk", "mapped", "composed", "between"])
 
 
 def values(entries: DataFrame, messages: DataFrame) -> DataFrame:
@@ -191,25 +193,24 @@ def suspect_chunks(vals: DataFrame) -> DataFrame:
 def form_dictionary(chunks: DataFrame) -> DataFrame:
     """(chunk, form) for the distinct chunks.
 
-    The look-alike-mapped values and their composed forms are the members; they are grouped under the collation UNICODE
-    (accents and case count, composed and decomposed accents don't), with the signs that the collation ignores as a second
-    key, so that joined emoji never fall together. The canonical member is the shortest, then the first in binary order.
-    A member that isn't composed the same way as the chunk is refused (exact check after the collation).
+    The look-alike-mapped values are the members, and their composed spellings; they are grouped under the collation UNICODE (accents and
+    case count, composed and decomposed accents don't). The collation passes over signs that are not seen, such as the joiner of emoji, so
+    what stands between the words, and the number of letters and accents of each word, is a second key, which can only split a class. The canonical member of a class is a composed one, then the
+    shortest, then the first in binary order; it is the answer for every chunk whose mapped value is in the class.
     """
     spark = chunks.sparkSession
-    members = chunks.select("chunk").distinct().mapInArrow(_members, "chunk string, mapped string, composed string, signature string")
+    members = chunks.select("chunk").distinct().mapInArrow(_members, "chunk string, mapped string, composed string, between string")
     return spark.sql(
-        """
+        f"""
         WITH members AS (
-          SELECT collate(form, 'UNICODE') AS class, signature, form FROM (
-            SELECT mapped AS form, signature FROM {members}
-            UNION ALL SELECT composed, signature FROM {members})),
+          SELECT collate(form, '{COLLATION}') AS class, between, form, apart FROM (
+            SELECT mapped AS form, between, mapped <> composed AS apart FROM {{members}}
+            UNION ALL SELECT composed, between, false FROM {{members}})),
         canonical AS (
-          SELECT class, signature, min(struct(char_length(form) AS n, form AS form)).form AS canonical
-          FROM members GROUP BY class, signature)
-        SELECT m.chunk, CASE WHEN c.canonical = m.composed THEN c.canonical ELSE m.composed END AS form
-        FROM {members} m JOIN canonical c
-          ON collate(m.mapped, 'UNICODE') = c.class AND m.signature = c.signature
+          SELECT class, between, min(struct(apart, char_length(form) AS n, form)).form AS form
+          FROM members GROUP BY class, between)
+        SELECT m.chunk, c.form
+        FROM {{members}} m JOIN canonical c ON collate(m.mapped, '{COLLATION}') = c.class AND m.between = c.between
         """,
         members=members,
     )

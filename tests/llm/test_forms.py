@@ -45,10 +45,15 @@ def test_operator_agrees_with_kernel(spark, make_entries, make_messages):
     assert all(rows["mes", i, 0] == forms.consistent_form(t) and rows["key", i, 0] == forms.consistent_form(t) for i, t in enumerate(texts))
 
 
-def test_collation_is_refused_where_letters_differ(spark):
-    chunks = spark.createDataFrame([("é",), ("e\u0301",), ("É",), ("👩\u200d🚀",), ("👩🚀",)], "chunk string")
-    found = {r.chunk: r.form for r in forms.form_dictionary(chunks).collect()}
-    assert found == {"é": "é", "e\u0301": "é", "É": "É", "👩\u200d🚀": "👩\u200d🚀", "👩🚀": "👩🚀"}
+CLASSES = {"é": "é", "e\u0301": "é", "É": "É", "👩\u200d🚀": "👩\u200d🚀", "👩🚀": "👩🚀", "ﬁe\u0301": "fié", "fiẻ": "fiẻ", "\u0958": "\u0915\u093c", "ـa\u0301": "ـá"}
+
+
+def test_collation_decides(spark, monkeypatch):
+    chunks = spark.createDataFrame([(c,) for c in [*CLASSES, "é"]], "chunk string")
+    assert {r.chunk: r.form for r in forms.form_dictionary(chunks).collect()} == CLASSES
+    monkeypatch.setattr(forms, "COLLATION", "UTF8_BINARY")  # without the collation, accents that stand apart stay apart
+    apart = {r.chunk: r.form for r in forms.form_dictionary(chunks).collect()}
+    assert apart["e\u0301"] == "e\u0301" and apart["ﬁe\u0301"] == "fie\u0301" and apart["É"] == "É"
 
 
 def test_empty(spark, make_entries, make_messages):
