@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parsed_date
-from ..session import checkpointed, stored
+from ..session import stored
 from .terms import counted_messages
 
 
@@ -48,10 +48,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star alternate until the edge set no longer changes; both keep the number of edges from growing
     past that of the nodes' links, and a hub's edges are spread by the shuffle over their larger end.
     """
-    now = checkpointed(edges.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
+    now = stored(edges.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "links")
     mark = None
     for _ in range(max_rounds):
-        now = checkpointed(small_star(large_star(now)))
+        now = stored(small_star(large_star(now)), "stars", instead=now)
         after = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
         if mark == after:
             break
