@@ -79,8 +79,8 @@ def test_empty(spark, docs, items):
     assert L.leaks(d, i).count() == 0
 
 
-def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_BLOCK", 2)
+def test_item_buckets(spark, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_WORDS", 50)
     rng = random.Random(8)
     items = [(i, " ".join(_words(rng, 25)), "x") for i in range(5)]
     docs = [(i, t, "x", "x") for i, t, _ in items]
