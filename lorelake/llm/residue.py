@@ -1,15 +1,19 @@
 """Template residue and error-page text, by retrieval of labelled exemplars and TF-IDF containment over passage windows.
 
 Labelled exemplars (residue, or text that only tells of such things) form an inverted index term -> exemplars. A document is cut into
-passages (lines and sentences, and runs of two and three of them). A passage retrieves the exemplars it shares a term with; the containment of an exemplar is the
-TF-IDF weight of its terms that the passage holds, over that of all its terms. Document frequencies are counted over the
-whole corpus. A document is excluded if some passage's best exemplar is residue and is contained to COVER.
-
-Terms are words in lower case, and one token for each form of an unfilled slot (``{{..}}``, ``${..}``, ``%..%`` and so on), whatever name
-it holds; the macros ``{{user}}`` and ``{{char}}`` are words.
-
-Defined results: null, empty and blank texts are no cases; repeated rows are judged each; very long texts are cut into passages of
-at most PASSAGE_TERMS terms; of equal containments that of the longer exemplar counts, then residue; an empty table gives no rows; extra columns are ignored.
+passages (lines and sentences, and runs of them that follow each other). A passage retrieves the exemplars with which it shares most weight;
+its containment is the TF-IDF weight of its terms that the best NEAREST of them hold, over the weight of all its terms. A document is
+excluded if some passage is contained in residue to COVER, with evidence enough: terms in common of weight EVIDENCE, or an exemplar that is
+nearly whole in it (an unfilled slot is one). What only names a notice in a sentence of its own is contained to a lesser degree. A passage
+that is contained at least as well in telling exemplars, slots aside, isn't residue.
+
+Terms are words in lower case; numbers are one term, signs of letters and digits together (ids, paths) are none. One token stands for each form of
+an unfilled slot (``{{..}}``, ``${..}``, ``%..%`` and so on) whatever name it holds, one for a word that follows itself four times or more, one for a run of
+neighbouring keys; the macros ``{{user}}`` and ``{{char}}`` are words. Weights are logarithms of the share of documents that lack a term, smoothed at one in a thousand,
+so that they don't depend on the size of the collection; terms of no exemplar weigh as those in one of two hundred documents.
+
+Defined results: null, empty and blank texts are no cases; repeated rows are judged each; very long lines are cut into passages of
+at most PASSAGE_TERMS terms; of equal containments the first passage counts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from math import log
 
 import pyarrow as pa
@@ -24,126 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forms import consistent_form
+from .residue_exemplars import RESIDUE, TELLING
 
-COVER = 0.8
+COVER = 0.7  # share of a passage's weight that residue exemplars must hold
+WHOLE = 0.8  # share of an exemplar's weight that counts as nearly whole
+NEAREST = 6  # exemplars that may share a passage
+EVIDENCE = 10.0  # weight in common that makes up for an exemplar that isn't whole: two terms of one document in a few hundred
 PASSAGE_TERMS = 60
-
-# Labelled exemplars. What differs from page to page is left out or stands as 0.
-RESIDUE = """
-you need to enable javascript to run this app
-this page needs javascript to display entries please turn it on and reload
-needs javascript to display entries please turn it on and reload
-please enable javascript to view this page
-javascript is disabled in your browser
-javascript is required to use this site
-bitte aktivieren sie javascript in ihrem browser um diesen eintrag zu lesen
-veuillez activer javascript pour afficher cette page
-por favor active javascript para ver esta página
-пожалуйста включите javascript в браузере
-your browser is not supported switch on scripting or use a newer version
-not available with scripting switched off
-noscript is not available with scripting switched off
-checking your browser before opening this takes a few seconds and requires cookies and scripts
-scripts are blocked
-if nothing appears allow scripts for this site
-http error please try again later
-http error 0 not found
-http error 0 forbidden
-http error 0 internal server error
-http error 0 bad gateway
-http error 0 service unavailable
-0 not found the requested page could not be served
-0 forbidden the requested page could not be served
-0 gateway timeout the requested page could not be served
-0 too many requests the requested page could not be served
-0 internal server error
-0 bad gateway
-0 service unavailable
-0 gateway timeout
-0 too many requests
-the requested page could not be served request id
-access denied you do not have permission to view on this server
-you do not have permission to view on this server
-fatal error uncaught exception in on line
-traceback most recent call last
-error establishing a database connection
-upstream connect error or disconnect before headers
-error code message gateway timeout id
-error code message internal server error id
-error code message bad gateway id
-error code message service unavailable id
-error code message not found id
-error code message forbidden id
-error code message too many requests id
-too many visitors you have reached the hourly limit pages wait and retry
-you have reached the hourly limit
-page no longer available it may have been moved or deleted return to the front page
-oops something went wrong we could not load this entry reference
-something went wrong we could not load this entry
-the entry could not be found
-your session has expired log in again to read
-we are down for maintenance and all other worlds will be back within minutes
-сервер временно недоступен код ошибки попробуйте позже
-seite nicht gefunden fehler die angeforderte seite existiert nicht mehr
-die angeforderte seite existiert nicht mehr
-erreur la page demandée est introuvable ou a été déplacée
-la page demandée est introuvable
-error la página solicitada no existe
-página no encontrada vuelva al inicio
-страница не найдена
-dummy text replace before release
-sample text goes here
-entry text to be written later
-this is placeholder content
-hier steht blindtext
-lorem ipsum dolor sit amet
-lorem ipsum
-consectetur adipiscing elit
-eiusmod tempor
-labore dolore
-magna aliqua
-enim minim veniam
-nostrud quis
-adipiscing elit
-text text text text
-test test test test
-asdf asdf asdf
-qwerty qwerty qwerty
-blah blah blah blah
-bla bla bla bla
-xxxx xxxx xxxx
-xxx xxx xxx
-tbd tbd tbd
-tba tba tba
-todo describe
-slot:curly
-slot:dollar
-slot:erb
-slot:percent
-slot:square
-slot:insert
-slot:goes
-slot:your
-slot:number
-slot:hash
-slot:under
-slot:angle
-slot:at
-slot:todo
-"""
-
-TELLING = """
-a guide for authors write where the reader's name belongs and never leave a bracket unfilled
-quest log gate 0 is closed for repair until thaw
-greets at the door
-the terminal in printed access denied and nobody laughed
-room 0 was not found on any plan of
-error the drone repeated error page torn closed the book
-the players of learned their scripts by heart scripts are required for every rite
-the clerk wrote to be named beside the child and later wrote
-dolor a healer from sat with
-keys for list the short name then the form a key that fires in every message tells the scan nothing
-"""
+MOST_EXEMPLARS = 20_000
 
 # The written forms of an unfilled slot, each with its token. The macros user and char are ordinary chat.
 SLOTS = [
@@ -161,16 +54,39 @@ SLOTS = [
     (re.compile(r"(?<!\w)__[A-Z][A-Z0-9_. ]*?__(?!\w)"), " slot:under "),
     (re.compile(r"<<[\w. ]+>>"), " slot:angle "),
     (re.compile(r"@@[\w.]+@@"), " slot:at "),
-    (re.compile(r"\bTODO\s*:"), " slot:todo "),
+    (re.compile(r"\bTODO\s*:|\b(?:TBD|TBA|TBC|FIXME|XXX+)\b"), " slot:todo "),
 ]
-SLOT_SIGNS = re.compile(r"[\[{<%#$]|TODO|__|@@")
+SLOT_SIGNS = re.compile(r"[\[{<%#$]|TODO|TB[ACD]|FIXME|XXX|__|@@")
 _term = re.compile(r"slot:[a-z]+|[^\W_]+(?:['’][^\W_]+)*")
+_path = re.compile(r"(?<!\S)/\S*")
 _cut = re.compile(r"(?<=[.!?])\s+|\n+")
+_rows = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_keys = frozenset(row[i : i + n] for row in _rows for n in range(4, 11) for i in range(len(row) - n + 1))
+
+
+AGAIN = 4  # times in a row that a word is said, and is filler then
+
+
+def _odd(term: str) -> str:
+    """A token that isn't of letters alone: a number, an id (none), a slot, or a word with an apostrophe."""
+    return "0" if term.isdigit() else "" if any(c.isdigit() for c in term) else term
 
 
 def terms_in(text: str) -> list[str]:
-    """Terms of a text without its slots: words in lower case, numbers as 0."""
-    return ["0" if t.isdigit() else t for t in _term.findall(text.lower())]
+    """Terms of a text without its slots: words in lower case, numbers as 0, runs of keys as one token, words said over and over as one."""
+    if "/" in text:
+        text = _path.sub(" ", text)
+    terms = _term.findall(text.lower())
+    terms = [x for t in terms if (x := t if t.isalpha() else _odd(t))]
+    if not _keys.isdisjoint(terms):
+        terms = ["slot:keys" if t in _keys else t for t in terms]
+    if len(terms) - len(set(terms)) >= AGAIN - 1 and any(a == b for a, b in zip(terms, terms[1:])):
+        out: list[str] = []
+        for t, run in groupby(terms):
+            n = sum(1 for _ in run)
+            out += ["slot:again"] if n >= AGAIN and t.isalpha() and t < "\u0e00" else [t] * n  # scripts beyond that set no blanks between words
+        return out
+    return terms
 
 
 def slotted(text: str) -> str:
@@ -180,70 +96,106 @@ def slotted(text: str) -> str:
     return text
 
 
-def passages(text: str, longest: int) -> Iterator[list[str]]:
-    """Terms of the lines and sentences, of each two and three of them that follow each other, and of more while they hold at most ``longest`` terms."""
+def parts_of(text: str) -> list[list[str]]:
+    """Terms of the lines and sentences of a text; long ones in overlapping stretches."""
     parts = []
     for p in _cut.split(slotted(text)):
         ts = terms_in(p)
         parts += [ts[i : i + PASSAGE_TERMS] for i in range(0, len(ts), PASSAGE_TERMS // 2)] if len(ts) > PASSAGE_TERMS else [ts] if ts else []
-    for i in range(len(parts)):
-        run: list[str] = []
-        for j in range(i, len(parts)):
-            if j >= i + 3 and len(run) + len(parts[j]) > longest:
-                break
-            run = run + parts[j]
-            if len(run) <= 2 * PASSAGE_TERMS:
-                yield run
+    return parts
 
 
-def exemplars() -> list[tuple[bool, Counter]]:
-    rows = [(True, line) for line in RESIDUE.strip().splitlines()] + [(False, line) for line in TELLING.strip().splitlines()]
-    return [(label, Counter(terms_in(line))) for label, line in rows]
+def exemplars() -> list[tuple[bool, str]]:
+    """The exemplars that come with the library, as (residue, text)."""
+    return [(True, line) for line in RESIDUE.strip().splitlines()] + [(False, line) for line in TELLING.strip().splitlines()]
 
 
 class ExemplarIndex:
-    """Inverted index of the exemplars with TF-IDF weights from the corpus' document frequencies."""
-
-    def __init__(self, labelled: list[tuple[bool, Counter]], df: dict[str, int], n_docs: int):
-        self.labelled = labelled
-        self.idf = {t: log(1 + n_docs / (1 + df.get(t, 0))) for _, c in labelled for t in c}
-        self.mass = [sum(n * self.idf[t] for t, n in c.items()) for _, c in labelled]
-        self.longest = max((sum(c.values()) for label, c in labelled if label), default=0)
-        self.postings: dict[str, list[tuple[int, int]]] = {}
-        for e, (_, c) in enumerate(labelled):
-            for t, n in c.items():
-                self.postings.setdefault(t, []).append((e, n))
+    """Inverted index of the exemplars with weights from the corpus' document frequencies."""
+
+    def __init__(self, labelled: list[tuple[bool, str]], df: dict[str, int], n_docs: int):
+        self.residue = [label for label, _ in labelled]
+        self.terms = [frozenset(terms_in(text)) for _, text in labelled]
+        weigh = lambda n: log((n_docs + 1) / (n + (n_docs + 1) / 1000)) + 0.05
+        self.weight = {t: max(0.05, weigh(df.get(t, 0))) for ts in self.terms for t in ts}
+        self.unknown = weigh((n_docs + 1) / 200)
+        self.mass = [sum(self.weight[t] for t in ts) for ts in self.terms]
+        self.postings: dict[str, list[int]] = {}
+        for e, ts in enumerate(self.terms):
+            for t in ts:
+                self.postings.setdefault(t, []).append(e)
+        self.slots = frozenset(t for t in self.weight if t.startswith("slot:"))
+        most = max(self.weight.values(), default=1.0)
+        self.least = COVER * self.unknown / (COVER * self.unknown + (1 - COVER) * most)  # share of a passage's terms that must be in exemplars for COVER
+        self.vocabulary = frozenset(t for label, ts in zip(self.residue, self.terms) if label for t in ts)
 
     def judge(self, text: str | None) -> tuple[bool, float, int]:
-        """(residue, containment, exemplar) of a text: its passage with the highest containment of a residue exemplar that no telling one outdoes."""
+        """(residue, containment, exemplar) of a text, by its best passage."""
         top = (False, 0.0, -1)
-        if text:
-            text = consistent_form(text)
-            if not self.possible(Counter(terms_in(slotted(text)))):
-                return top
-            for p in passages(text, self.longest):
-                cover, label, e = self.cover(p)
-                if label and cover >= COVER and cover > top[1]:
-                    top = (True, cover, e)
+        if not text:
+            return top
+        parts = parts_of(consistent_form(text))
+        # a run's containment is a mean of its parts', so it needs a part that the residue vocabulary holds to COVER, or a slot
+        known = self.weight.__contains__
+        slotted_ = [not self.slots.isdisjoint(p) for p in parts]
+        seeds = [i for i, p in enumerate(parts) if slotted_[i] or sum(map(known, p)) >= self.least * len(p) and self.share(p, self.vocabulary) >= COVER]
+        if not seeds:
+            return top
+        held = [self.masses(p, self.vocabulary) for p in parts]
+        for i in seeds:
+            for lo in range(max(0, i - 3), i + 1):
+                some = total = 0.0
+                size, slot = 0, False
+                for hi in range(lo, len(parts)):
+                    some, total, size, slot = some + held[hi][0], total + held[hi][1], size + len(parts[hi]), slot or slotted_[hi]
+                    if hi >= i and (slot or some >= COVER * total):
+                        cover, e = self.cover([t for p in parts[lo : hi + 1] for t in p])
+                        if e >= 0 and cover > top[1]:
+                            top = (True, cover, e)
+                            if cover >= 1.0:
+                                return top
+                    if size > PASSAGE_TERMS or hi - i >= 8:
+                        break
         return top
 
-    def possible(self, terms: Counter) -> bool:
-        """Whether the whole text holds enough of any residue exemplar; no passage can hold more."""
-        held: dict[int, float] = {}
-        for t in self.postings.keys() & terms.keys():
-            n, w = terms[t], self.idf[t]
-            for e, m in self.postings[t]:
-                held[e] = held.get(e, 0.0) + min(n, m) * w
-        return any(w >= (COVER - 1e-9) * self.mass[e] and self.labelled[e][0] for e, w in held.items())
-
-    def cover(self, passage: list[str]) -> tuple[float, bool, int]:
+    def masses(self, passage: list[str], held: frozenset[str]) -> tuple[float, float]:
+        """Weight of a passage's terms that are in ``held``, and of all."""
+        some = total = 0.0
+        for t in passage:
+            w = self.weight.get(t, self.unknown)
+            total += w
+            if t in held:
+                some += w
+        return some, total
+
+    def share(self, passage: list[str], held: frozenset[str]) -> float:
+        some, total = self.masses(passage, held)
+        return some / total if total else 0.0
+
+    def cover(self, passage: list[str]) -> tuple[float, int]:
+        """(containment, exemplar) of a passage in residue; exemplar is -1 unless the passage is residue."""
+        terms = frozenset(passage)
         held: dict[int, float] = {}
-        for t, n in Counter(passage).items():
-            for e, m in self.postings.get(t, ()):
-                held[e] = held.get(e, 0.0) + min(n, m) * self.idf[t]
-        telling = any(not self.labelled[e][0] and w >= COVER * self.mass[e] for e, w in held.items())
-        cover, _, _, e = max(((w / self.mass[e], self.mass[e], self.labelled[e][0], e) for e, w in held.items() if self.labelled[e][0]), default=(0.0, 0.0, False, -1))
-        return cover, not telling and e >= 0, e
+        for t in terms:
+            for e in self.postings.get(t, ()):
+                held[e] = held.get(e, 0.0) + self.weight[t]
+        ranked = [e for _, e in sorted((-w, e) for e, w in held.items())]
+        near = [e for e in ranked if self.residue[e]][:NEAREST]
+        if not near:
+            return 0.0, -1
+        slot = next((e for e in ranked if self.residue[e] and len(self.terms[e]) == 1 and next(iter(self.terms[e])).startswith("slot:")), -1)
+        union = frozenset().union(*(self.terms[e] for e in near))
+        cover = 1.0 if slot >= 0 else self.share(passage, union)
+        whole = slot if slot >= 0 else next((e for e in near if held[e] >= WHOLE * self.mass[e]), -1)
+        if cover < COVER or (whole < 0 and sum(self.weight[t] for t in terms & union) < EVIDENCE):
+            return cover, -1
+        telling = [e for e in ranked if not self.residue[e]][:NEAREST]
+        plain = [t for t in passage if not t.startswith("slot:")]
+        if telling and plain:
+            told = self.share(plain, frozenset().union(*(self.terms[e] for e in telling)))
+            if told >= COVER - 0.1 and told >= self.share(plain, union):
+                return cover, -1
+        return cover, whole if whole >= 0 else near[0]
 
 
 def _df(vocabulary: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -271,15 +223,20 @@ def _judge(index: ExemplarIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def judged(documents: DataFrame, labelled: list[tuple[bool, Counter]] | None = None) -> DataFrame:
+def judged(documents: DataFrame, labelled: DataFrame | list[tuple[bool, str]] | None = None) -> DataFrame:
     """(doc_id, residue, cover, exemplar) of every document (doc_id, text); exemplar is the number of the one that decided, or -1.
 
-    The exemplars are a fixed list, so its vocabulary, its document frequencies and the index are bounded; both passes over the
-    corpus are map-only but for one count a term and task.
+    ``labelled`` is a table (residue boolean, text) of at most MOST_EXEMPLARS exemplars; without it those of the library are taken. So the
+    vocabulary, its document frequencies and the index are bounded; both passes over the corpus are map-only but for one count a term and task.
     """
+    if isinstance(labelled, DataFrame):
+        rows = labelled.select("residue", "text").dropna().orderBy("residue", "text").limit(MOST_EXEMPLARS + 1).collect()
+        if len(rows) > MOST_EXEMPLARS:
+            raise ValueError(f"more than {MOST_EXEMPLARS} exemplars")
+        labelled = [(r.residue, r.text) for r in rows]
     labelled = labelled or exemplars()
     docs = documents.select("doc_id", "text")
-    vocabulary = frozenset(t for _, c in labelled for t in c)
+    vocabulary = frozenset(t for _, text in labelled for t in terms_in(text))
     df = {r.term: r.n for r in docs.mapInArrow(_df(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     index = ExemplarIndex(labelled, df, df.pop("", 0))
     return docs.mapInArrow(_judge(index), "doc_id long, residue boolean, cover double, exemplar int")
