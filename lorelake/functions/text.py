@@ -23,7 +23,8 @@ BLOCK_ELEMENTS = (
 NAME_PARTICLES = frozenset("of the and de del della di da van von der den du la le el bin ibn".split())
 
 _flat = str.maketrans({**dict.fromkeys(APOSTROPHES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), **dict(SPELLED)})
-_combining = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+COMBINING = "[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]"
+_combining = re.compile(COMBINING)
 TOKEN_SPLIT = r"[^\p{L}\p{N}\p{M}']+"
 _token_split = regex.compile(TOKEN_SPLIT)
 
@@ -31,9 +32,31 @@ _token_split = regex.compile(TOKEN_SPLIT)
 # --- columns -----------------------------------------------------------------------------------------------------------------
 
 
+def _compositions() -> str:
+    """Each letter that has its marks in it, behind its spelling with the marks apart; one a line."""
+    letters = (chr(i) for i in range(0xC0, 0x30000) if not 0xAC00 <= i <= 0xD7A3 and not 0xD800 <= i <= 0xDFFF)
+    pairs = ((unicodedata.normalize("NFD", c), c) for c in letters)
+    return "\n".join(f"{apart}\t{c}" for apart, c in pairs if len(apart) > 1 and unicodedata.normalize("NFC", c) == c)
+
+
+_composed_by: list[str] = []
+
+
+def composed(c: Column) -> Column:
+    """The text with combining marks joined to their letters (all of NFC but the joining of Hangul letters). Texts without marks aren't touched."""
+    if not _composed_by:
+        _composed_by.append(_compositions())
+    known = F.str_to_map(F.lit(_composed_by[0]), F.lit("\n"), F.lit("\t"))
+    whole = lambda x: F.try_element_at(known, x)
+    first = lambda x: F.concat(whole(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 20))
+    letters = F.regexp_extract_all(c, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    return F.when(c.rlike(COMBINING), F.array_join(F.transform(letters, lambda x: F.when(F.length(x) > 1, F.coalesce(whole(x), first(x), x)).otherwise(x)), "")).otherwise(c)
+
+
 def ortho(c: Column | str) -> Column:
-    """One spelling for quotes, dashes, ellipsis and no-break space. Composed text is expected; ``ortho_text`` also composes."""
-    c = F.translate(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), APOSTROPHES + DOUBLE_QUOTES, "'" * len(APOSTROPHES) + '"' * len(DOUBLE_QUOTES))
+    """Composed text with one spelling for quotes, dashes, ellipsis and no-break space."""
+    c = composed(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    c = F.translate(c, APOSTROPHES + DOUBLE_QUOTES, "'" * len(APOSTROPHES) + '"' * len(DOUBLE_QUOTES))
     for sign, plain in SPELLED:
         c = F.replace(c, F.lit(sign), F.lit(plain))
     return c

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 
 
+def _counted(key: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, terms, tf, dl = [], [], [], []
+            for row, text in enumerate(b.column("text").to_pylist()):
+                toks = T.token_list(text)
+                counts = Counter(toks)
+                at += [row] * len(counts)
+                terms += counts
+                tf += counts.values()
+                dl += [len(toks)] * len(counts)
+            keys = [b.column(k).take(pa.array(at, pa.int64())) for k in key]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int32())], names=[*key, "term", "tf", "dl"])
+
+    return run
+
+
 def postings(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key..., term, tf, dl): each document's terms; counted inside the row, so no shuffle."""
-    toks = docs.select(*key, T.tokens(text).alias("toks"))
-    return toks.select(*key, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(key..., term, tf, dl): each document's terms, counted in one Arrow pass over the documents, so no shuffle."""
+    rows = docs.select(*key, F.col(text).alias("text"))
+    schema = StructType([*[rows.schema[k] for k in key], StructField("term", StringType()), StructField("tf", LongType()), StructField("dl", IntegerType())])
+    return rows.mapInArrow(_counted(key), schema)
 
 
 def doc_stats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -97,27 +97,39 @@ def literal_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
     return out
 
 
+class _Trees:
+    """Gated expressions by key and flags; a bounded number is kept."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, S.Node | None] = {}
+
+    def get(self, key: str, cased: bool | None, whole: bool | None, secondary: list[str] | None, logic: int | None) -> S.Node | None:
+        asked = (key, tuple(secondary or ()), logic, bool(cased), bool(whole))
+        if asked not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            try:
+                self.known[asked] = S.gated(*asked[:1], list(asked[1]), *asked[2:])
+            except S.TooDeep:
+                self.known[asked] = None
+        return self.known[asked]
+
+
+FLAGS = ("cased", "whole", "secondary", "logic")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees: dict[tuple, S.Node | None] = {}
-    last, seg = None, None
+    trees, last, seg = _Trees(), None, None
     for b in batches:
         rows = []
-        for entry, key, seg_id, text, cased, whole, sec, logic in zip(*(b.column(c).to_pylist() for c in ("entry_id", "key", "seg_id", "text", "cased", "whole", "secondary", "logic"))):
+        for entry, key, seg_id, text, *flags in zip(*(b.column(c).to_pylist() for c in ("entry_id", "key", "seg_id", "text", *FLAGS))):
             if seg_id != last:
                 last, seg = seg_id, S.Segment(text)
-            asked = (key, tuple(sec or ()), logic, bool(cased), bool(whole))
-            if asked not in trees:
-                if len(trees) > 50_000:
-                    trees.clear()
-                try:
-                    trees[asked] = S.gated(*asked[:1], list(asked[1]), *asked[2:])
-                except S.TooDeep:
-                    trees[asked] = None
-            tree = trees[asked]
+            tree = trees.get(key, *flags)
             r = S.evaluate(tree, seg)
             if not r.matched:
                 continue
-            gated = bool(sec) or key.startswith("?")
+            gated = bool(flags[2]) or key.startswith("?")
             order = {id(n): i for i, n in enumerate(S.walk(tree))}  # a unit's name must mean the same in every segment
             for what, mass, n in r.units or [(None, 0.0, 1)]:
                 rows.append((entry, key, seg_id, order.get(what, -1) if gated else -1, mass, n, r.log_weight))
@@ -126,25 +138,70 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["entry_id", "key", "seg_id", "unit", "mass", "n", "log_weight"])
 
 
-def match_units(entries: DataFrame, segments: DataFrame) -> DataFrame:
-    """(entry_id, key, seg_id, unit, mass, n, log_weight): scoring units of every key that matches a segment.
+def _parts_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees, last, seg = _Trees(), None, None
+    for b in batches:
+        rows = []
+        for entry, key, seg_id, text, *flags in zip(*(b.column(c).to_pylist() for c in ("entry_id", "key", "seg_id", "text", *FLAGS))):
+            if seg_id != last:
+                last, seg = seg_id, S.Segment(text)
+            for i, part in enumerate(S.parts(trees.get(key, *flags))):
+                if S.clusters(part, seg) if part.near is not None else seg.spans(part):
+                    rows.append((entry, key, seg_id, i))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.string(), pa.int32()])], names=["entry_id", "key", "seg_id", "part"])
 
-    entries: world, entry_id, key, and if present keysecondary, selective_logic, selective, case_sensitive, whole_words.
-    segments: seg_id, world (the book they are scanned for), text.
-    """
+
+def _jointly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees = _Trees()
+    for b in batches:
+        keep = []
+        for key, found, *flags in zip(*(b.column(c).to_pylist() for c in ("key", "parts", *FLAGS))):
+            tree = trees.get(key, *flags)
+            parts = S.parts(tree)
+            keep.append(S.holds(tree, {id(parts[i]) for i in found}))
+        yield b.filter(pa.array(keep, pa.bool_())).select(["chat_id", "entry_id"])
+
+
+def key_flags(entries: DataFrame) -> DataFrame:
+    """(entry_id, cased, whole, secondary, logic) of entries that may lack some of the columns."""
     have = set(entries.columns)
     col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    return entries.select("entry_id", col("case_sensitive", "boolean").alias("cased"), col("whole_words", "boolean").alias("whole"), col("keysecondary", "array<string>").alias("secondary"), col("selective_logic", "int").alias("logic"))
+
+
+def _candidates(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(entry_id, key, seg_id, text, cased, whole, secondary, logic): keys of a segment's book with a form that the segment holds, or without forms."""
     keys = stored(key_table(entries), "keys")
-    flags = entries.select("entry_id", col("case_sensitive", "boolean").alias("cased"), col("whole_words", "boolean").alias("whole"), col("keysecondary", "array<string>").alias("secondary"), col("selective_logic", "int").alias("logic"))
     hits = literal_hits(segments, keys).select("seg_id", "form").join(segments.select("seg_id", "world"), "seg_id")
     by_form = keys.filter("usable AND size(forms) > 0").select("world", "entry_id", "key", F.explode("forms").alias("form"))
     literal = hits.join(by_form, ["world", "form"]).select("entry_id", "key", "seg_id").distinct()
     free = keys.filter("usable AND (kind = 'regex' OR (kind = 'smart' AND size(forms) = 0))").select("world", "entry_id", "key").distinct()
     anywhere = segments.select("world", "seg_id").join(free, "world").select("entry_id", "key", "seg_id")
-    cands = literal.unionByName(anywhere).join(segments.select("seg_id", "text"), "seg_id").join(flags, "entry_id")
+    cands = literal.unionByName(anywhere).join(segments.select("seg_id", "text"), "seg_id").join(key_flags(entries), "entry_id")
+    return cands.select("entry_id", "key", "seg_id", "text", *FLAGS).sortWithinPartitions("seg_id")
+
+
+def match_units(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(entry_id, key, seg_id, unit, mass, n, log_weight): scoring units of every key that matches a segment.
+
+    entries: world, entry_id, key, and if present keysecondary, selective_logic, selective, case_sensitive, whole_words.
+    segments: seg_id, world (the book they are scanned for), text.
+    """
     schema = "entry_id long, key string, seg_id string, unit int, mass double, n int, log_weight double"
-    ordered = cands.select("entry_id", "key", "seg_id", "text", "cased", "whole", "secondary", "logic").sortWithinPartitions("seg_id")
-    return ordered.mapInArrow(_verified, schema)
+    return _candidates(entries, segments).mapInArrow(_verified, schema)
+
+
+def part_facts(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(entry_id, key, seg_id, part): the parts of keys (terms, patterns, proximity groups) that a segment holds, whether or not the key matches it."""
+    return _candidates(entries, segments).mapInArrow(_parts_found, "entry_id long, key string, seg_id string, part int")
+
+
+def joint_matches(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """(chat_id, entry_id) of the entries with a key that holds on the parts (chat_id, entry_id, key, part) found in all texts of a chat together."""
+    found = facts.groupBy("chat_id", "entry_id", "key").agg(F.collect_set("part").alias("parts"))  # at most the parts of a key
+    rows = found.join(key_flags(entries), "entry_id").select("chat_id", "entry_id", "key", "parts", *FLAGS)
+    return rows.mapInArrow(_jointly, "chat_id string, entry_id long").distinct()
 
 
 def repeat_curve(n: Column, k1: float = 1.2, curve: str = "presence-log", r: float = 1.0) -> Column:
@@ -168,8 +225,6 @@ def keyword_scores(units: DataFrame, scene_of: DataFrame, k1: float = 1.2, curve
     return pooled.groupBy("chat_id", "entry_id").agg(F.sum(worth).alias("score"), F.countDistinct("key").alias("hits"), F.max("lw").alias("log_weight"))
 
 
-
-
 def unit_counts(segments: DataFrame, keys: DataFrame) -> DataFrame:
     """(form, units): in how many segments each folded form of the keys occurs; segments, never occurrences."""
     return literal_hits(segments, keys).groupBy("form").agg(F.count(F.lit(1)).alias("units"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import APOSTROPHES, BLOCK_ELEMENTS, DOUBLE_QUOTES, SPELLED
+from ..functions.text import APOSTROPHES, BLOCK_ELEMENTS, COMBINING, DOUBLE_QUOTES, SPELLED
 
 
 def _q(s: str) -> str:
@@ -10,7 +10,8 @@ def _q(s: str) -> str:
 
 
 def ortho(c: str) -> str:
-    out = f"translate(coalesce({c}, ''), {_q(APOSTROPHES + DOUBLE_QUOTES)}, {_q(chr(39) * len(APOSTROPHES) + chr(34) * len(DOUBLE_QUOTES))})"
+    whole = f"CASE WHEN regexp_matches({c}, {_q(COMBINING)}) THEN nfc_normalize({c}) ELSE coalesce({c}, '') END"
+    out = f"translate({whole}, {_q(APOSTROPHES + DOUBLE_QUOTES)}, {_q(chr(39) * len(APOSTROPHES) + chr(34) * len(DOUBLE_QUOTES))})"
     for sign, plain in SPELLED:
         out = f"replace({out}, {_q(sign)}, {_q(plain)})"
     return out

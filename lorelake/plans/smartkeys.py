@@ -581,6 +581,25 @@ def evaluate(node: Node | None, seg: Segment) -> Result:
     return Result(True, r.units, 0.0) if node.optional and not r.matched else r
 
 
+def parts(node: Node | None) -> list[Node]:
+    """What of an expression is looked for in a text as such: its terms, patterns and proximity groups, in order."""
+    if node is None or node.near is not None or node.op in ("TERM", "REGEX"):
+        return [node] if node else []
+    return [p for k in node.kids for p in parts(k)]
+
+
+def holds(node: Node | None, have: set[int]) -> bool:
+    """Whether an expression holds where the parts with these ids are found, in one text or in several read as one."""
+    if node is None:
+        return False
+    if node.near is not None or node.op in ("TERM", "REGEX"):
+        ok = id(node) in have
+    else:
+        kids = [holds(k, have) for k in node.kids]
+        ok = not kids[0] if node.op == "NOT" else all(kids) if node.op == "AND" else sum(kids) == 1 if node.op == "XOR" else any(kids)
+    return ok or node.optional
+
+
 # proximity: the ways to satisfy a group are lists of span lists with vetoes; windows are found by one sweep over all spans
 
 

@@ -183,6 +183,33 @@ def test_keyword_score(spark, entries):
     assert r.hits == 2 and r.score == pytest.approx(1 + math.log(1 + 2 / 1.2) + 3) and r.log_weight == pytest.approx(math.log(3))
 
 
+def test_joint_recursion(spark, entries):
+    df = entries([{"key": ["start"], "content": "amber"}, {"key": ["amber"], "content": "birch"}, {"key": ["? amber & birch"], "content": "cedar"}, {"key": ["? birch & gate"], "content": "x"}, {"key": ["? (amber birch)~2"], "content": "y"}, {"key": ["? cedar -gate"], "content": "z"}])
+    seeds = spark.createDataFrame([("c", 0), ("d", 0)], "chat_id string, entry_id long")
+    scenes = spark.createDataFrame([("c", "w", "start at the gate"), ("d", "w", "start")], "chat_id string, world string, text string")
+    rows = lambda **k: {(r.chat_id, r.entry_id): r.depth for r in activation.recursion(df, seeds, **k).collect()}
+    both = {("c", 0): 0, ("d", 0): 0, ("c", 1): 1, ("d", 1): 1}
+    assert rows(window="message") == both
+    assert rows(window="scan", scenes=scenes) == both | {("c", 2): 2, ("d", 2): 2, ("c", 3): 2, ("d", 5): 3}
+    late = df.withColumn("delay_until_recursion", F.when(F.col("entry_id") == 2, 4).otherwise(0))
+    assert {(r.chat_id, r.entry_id): r.depth for r in activation.recursion(late, seeds, window="scan", scenes=scenes).collect()}["c", 2] == 4
+
+
+def test_recursion_keeps_paragraphs_apart(spark, entries):
+    df = entries([{"key": ["start"], "content": "amber\n\nbirch"}, {"key": ["? amber & birch"], "content": "x"}])
+    seeds = spark.createDataFrame([("c", 0)], "chat_id string, entry_id long")
+    n = lambda w: activation.recursion(df, seeds, window=w).count()
+    assert (n("paragraph"), n("message"), n("scan")) == (1, 2, 2)
+
+
+def test_decomposed_accents(spark):
+    rows = spark.createDataFrame([(1, "Cafe\u0301 cafe\u0301 Vie\u0323\u0302t q\u0307a"), (2, "Café café Việt q\u0307a")], "doc_id long, text string")
+    folded = [r.f for r in rows.select(T.fold("text").alias("f")).collect()]
+    assert folded[0] == folded[1] == T.fold_text("Café café Việt q\u0307a")
+    post = {(r.doc_id, r.term): (r.tf, r.dl) for r in lexical.postings(rows, ["doc_id"]).collect()}
+    assert post[1, "café"] == post[2, "café"] == (2, 4) and {t for d, t in post if d == 1} == {t for d, t in post if d == 2}
+
+
 def test_recursion(spark, entries):
     df = entries([{"key": ["start"], "content": "speaks of alpha"}, {"key": ["alpha"], "content": "speaks of beta and alpha"}, {"key": ["beta"], "content": "gamma"}, {"key": ["gamma"], "content": "start"}, {"key": ["delta"], "content": "x"}])
     seeds = spark.createDataFrame([("c", 0)], "chat_id string, entry_id long")
