@@ -155,9 +155,9 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def _encode(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(name: str | None, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held, chars = vocabulary(path), [], 0
+        vocab, held, chars = vocabulary(default_vocabulary() if name is None else SparkFiles.get(name)), [], 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             ids = encode_texts([t for _, t in rows], vocab, pattern)
@@ -178,4 +178,8 @@ def _encode(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def encode_corpus(documents: DataFrame, path: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids) of every row of documents (doc_id, text)."""
-    return documents.select("doc_id", "text").mapInArrow(_encode(path or default_vocabulary(), pattern), "doc_id long, ids array<int>")
+    name = None
+    if path is not None:  # shipped to the executors; the default one is installed with the workers' Python
+        documents.sparkSession.sparkContext.addFile(path)
+        name = os.path.basename(path)
+    return documents.select("doc_id", "text").mapInArrow(_encode(name, pattern), "doc_id long, ids array<int>")

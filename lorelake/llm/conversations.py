@@ -75,15 +75,15 @@ def quote_links(messages: DataFrame) -> DataFrame:
     return quotes.join(texts, "h").filter("u <> v AND (n >= 20 OR copies = 1)").select("u", "v")
 
 
-def assign_conversations(messages: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+def assign_conversations(messages: DataFrame, replies: DataFrame | None = None, quotes: bool = True) -> DataFrame:
     """``messages`` with chat_id filled: a message without one takes that of its component, or ``component-<smallest msg_id>``.
 
-    Links are quotes and, if given, ``replies`` (msg_id, reply_to). Only components with a message that lacks an identifier
+    Links are quotes (unless ``quotes`` is off) and, if given, ``replies`` (msg_id, reply_to). Only components with a message that lacks an identifier
     are looked at; a known chat_id is never replaced. If a component touches several chats, the smallest chat_id counts.
     """
     if not messages.filter(F.col("chat_id").isNull()).limit(1).count():
         return messages
-    links = quote_links(messages)
+    links = quote_links(messages) if quotes or replies is None else messages.select(F.col("msg_id").alias("u"), F.col("msg_id").alias("v")).limit(0)
     if replies is not None:
         links = links.unionByName(replies.select(F.col("msg_id").alias("u"), F.col("reply_to").alias("v")).dropna())
     lacking = messages.filter(F.col("chat_id").isNull()).select(F.col("msg_id").alias("node"))

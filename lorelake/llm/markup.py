@@ -4,21 +4,23 @@ A message is parsed into a tree: the root, below it every construct that might b
 actions in asterisks, asides, arrows ...), nested as written. Each node has a hidden state, ordinary or one of four markups. A node's
 shape speaks for its state; parent-child potentials tie the states of nested constructs and of the constructs of one message. Sum-product
 messages go up the tree and down again and give each node's marginal. Shapes and potentials are counted on labelled
-pages, which a generator writes from the rules of the four languages and from chat signs (LABELLED_PAGES of them, seeded).
+pages: a table of them, or LABELLED_PAGES that a generator writes from the rules of the four languages and from chat signs (seeded).
 
 Headings, lists, code, tables and formulas stay as structure in the clean text; other marks go, their text stays.
 
 Defined results: null stays null; empty and blank texts have no markup and stay as they are; trees of the same shape are computed once;
-very long texts take time in proportion to their nodes; constructs nested deeper than DEPTH are read as plain text;
+very long texts take time in proportion to their nodes; constructs may nest without limit;
 repeated rows are judged each; an empty table gives no rows; of equal marginals the ordinary state counts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import random
 import re
-from collections import Counter
+import sys
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ from .forms import consistent_form
 
 STATES = ("chat", "html", "markdown", "wiki", "latex")
 LABELLED_PAGES = 4_000
-DEPTH = 12
+MOST_PAGES = 100_000  # labelled pages that the driver takes from a table
 CACHE = 100_000
 
 # Element names of HTML, and those that have no end tag.
@@ -117,33 +119,42 @@ def _shape(kind: str, found: str) -> str:
     return kind
 
 
-def _scan(text: str, lo: int, hi: int, depth: int) -> list[Node]:
-    out = []
-    for m in _master.finditer(text, lo, hi):
-        kind = m.lastgroup if m.lastgroup != "envname" else "env"
-        start, end = m.span()
-        node = Node(kind, _shape(kind, m.group()), start, end)
-        if kind in _wraps:
-            a, b = _wraps[kind]
-            node.inside = [(start + a, end - b)]
-        elif kind in ("quote", "list"):
-            at = start
-            for line in m.group().split("\n"):
-                skip = _marker.match(line).end() if kind == "list" else 2 if line.startswith("> ") else 1
-                node.inside.append((min(at + skip, at + len(line)), at + len(line)))
-                at += len(line) + 1
-        elif kind in ("head", "eqhead"):
-            line = m.group()
-            left = len(line) - len(line.lstrip(" #\t" if kind == "head" else "= \t"))
-            right = len(line.rstrip() if kind == "head" else line.rstrip("= \t"))
-            node.inside = [(start + left, start + max(left, right))]
-        elif kind == "link":
-            node.inside = [(start + 1, text.index("](", start))]
-        if depth < DEPTH:
-            for a, b in node.inside:
-                node.children += _scan(text, a, b, depth + 1)
-        out.append(node)
-    return _paired(text, out)
+def _insides(text: str, m: re.Match, kind: str) -> list[tuple[int, int]]:
+    """The stretches of a construct in which others may stand."""
+    start, end = m.span()
+    if kind in _wraps:
+        a, b = _wraps[kind]
+        return [(start + a, end - b)]
+    if kind in ("quote", "list"):
+        out, at = [], start
+        for line in m.group().split("\n"):
+            skip = _marker.match(line).end() if kind == "list" else 2 if line.startswith("> ") else 1
+            out.append((min(at + skip, at + len(line)), at + len(line)))
+            at += len(line) + 1
+        return out
+    if kind in ("head", "eqhead"):
+        line = m.group()
+        left = len(line) - len(line.lstrip(" #\t" if kind == "head" else "= \t"))
+        right = len(line.rstrip() if kind == "head" else line.rstrip("= \t"))
+        return [(start + left, start + max(left, right))]
+    return [(start + 1, text.index("](", start))] if kind == "link" else []
+
+
+def _scan(text: str) -> list[Node]:
+    """The tree below the root; stretches are scanned in the order found, so that a text may nest as deep as it likes."""
+    root: list[Node] = []
+    work = deque([(root, 0, len(text))])
+    while work:
+        into, lo, hi = work.popleft()
+        found = []
+        for m in _master.finditer(text, lo, hi):
+            kind = m.lastgroup if m.lastgroup != "envname" else "env"
+            node = Node(kind, _shape(kind, m.group()), *m.span())
+            node.inside = _insides(text, m, kind)
+            work += [(node.children, a, b) for a, b in node.inside if a < b]
+            found.append(node)
+        into += _paired(text, found)
+    return root
 
 
 def _paired(text: str, nodes: list[Node]) -> list[Node]:
@@ -175,11 +186,22 @@ def _paired(text: str, nodes: list[Node]) -> list[Node]:
 
 def parse(text: str) -> list[Node]:
     """The root's children. Texts without any sign of markup have none and are not scanned."""
-    return _scan(text, 0, len(text), 0) if _signs.search(text) else []
+    return _scan(text) if _signs.search(text) else []
+
+
+def in_order(nodes: list[Node]) -> list[tuple[Node, int]]:
+    """The nodes of a tree, each before its children, with the place of its parent (0 for the root, so the first node is 1)."""
+    out: list[tuple[Node, int]] = []
+    stack = [(n, 0) for n in reversed(nodes)]
+    while stack:
+        node, parent = stack.pop()
+        out.append((node, parent))
+        stack += [(c, len(out)) for c in reversed(node.children)]
+    return out
 
 
 def signature(nodes: list[Node]) -> tuple:
-    return tuple((n.shape, signature(n.children)) if n.children else n.shape for n in nodes)
+    return tuple((n.shape, parent) for n, parent in in_order(nodes))
 
 
 class Model:
@@ -192,19 +214,16 @@ class Model:
         self.link, self.prior = np.full((n, n), smooth), np.full(n, smooth)
         at = {s: i for i, s in enumerate(STATES)}
 
-        def count(parent: int, nodes: list[Node], spans: list[tuple[int, int, str]]) -> None:
-            for node in nodes:
+        for text, spans in pages:
+            labels = Counter(label for _, _, label in spans if label != "chat")
+            states = [at[labels.most_common(1)[0][0]] if labels else 0]
+            self.prior[states[0]] += 1
+            for node, parent in in_order(parse(text)):
                 state = at[next((label for a, b, label in spans if a <= node.start < b), "chat")]
+                states.append(state)
                 shapes.setdefault(node.shape, np.full(n, smooth))[state] += 1
                 families.setdefault(node.shape.partition(":")[0], np.full(n, smooth))[state] += 1
-                self.link[parent, state] += 1
-                count(state, node.children, spans)
-
-        for text, spans in pages:
-            labels = Counter(label for _, _, label in spans if label != "chat")
-            root = at[labels.most_common(1)[0][0]] if labels else 0
-            self.prior[root] += 1
-            count(root, parse(text), spans)
+                self.link[states[parent], state] += 1
         total = sum(shapes.values(), np.zeros(n))
         self.link /= self.link.sum(1, keepdims=True)
         self.prior /= self.prior.sum()
@@ -221,17 +240,8 @@ class Model:
         """Marginals of the nodes in the order they open, by one pass up and one pass down."""
         if (known := self.cache.get(sig)) is not None:
             return known
-        shapes: list[str | None] = [None]
-        parents = [-1]
-
-        def flat(items: tuple, parent: int) -> None:
-            for x in items:
-                shape, below = (x, ()) if isinstance(x, str) else x
-                shapes.append(shape)
-                parents.append(parent)
-                flat(below, len(shapes) - 1)
-
-        flat(sig, 0)
+        shapes: list[str | None] = [None, *(shape for shape, _ in sig)]
+        parents = [-1, *(parent for _, parent in sig)]
         here = [self.prior if s is None else self.emission(s) for s in shapes]
         up = [h.copy() for h in here]
         sent: list[np.ndarray] = [np.ones(len(STATES))] * len(shapes)
@@ -314,9 +324,10 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 11) -> list[tuple[str, l
     return pages
 
 
-@lru_cache(maxsize=1)
-def model() -> Model:
-    return Model(labelled_pages())
+@lru_cache(maxsize=2)
+def model(pages: str | None = None) -> Model:
+    """The model counted on labelled pages (JSON of [text, [[start, end, state], ..]]), or on generated ones."""
+    return Model(labelled_pages() if pages is None else [(t, [tuple(x) for x in spans]) for t, spans in json.loads(pages)])
 
 
 def judged_tree(text: str, m: Model) -> tuple[list[Node], dict[int, int], set[str]]:
@@ -325,16 +336,10 @@ def judged_tree(text: str, m: Model) -> tuple[list[Node], dict[int, int], set[st
     states: dict[int, int] = {}
     present: set[str] = set()
     if nodes:
-        beliefs = iter(m.marginals(signature(nodes)))
-
-        def walk(items: list[Node]) -> None:
-            for node in items:
-                state = states[id(node)] = int(np.argmax(next(beliefs)))
-                if state:
-                    present.add(STATES[state])
-                walk(node.children)
-
-        walk(nodes)
+        for (node, _), belief in zip(in_order(nodes), m.marginals(signature(nodes))):
+            state = states[id(node)] = int(np.argmax(belief))
+            if state:
+                present.add(STATES[state])
     return nodes, states, present
 
 
@@ -444,28 +449,45 @@ def clean(text: str | None, m: Model) -> str | None:
     nodes, states, present = judged_tree(text, m)
     if not present:
         return text
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(states) + 1000))  # a tree is rendered as deep as it is
     return re.sub(r"\n{3,}", "\n\n", _render(text, 0, len(text), nodes, states)).strip("\n")
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m = model()
-    for b in batches:
-        rows = [(i, k) for i, t in zip(b.column("msg_id").to_pylist(), b.column("mes").to_pylist()) for k in markups(t, m)]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], names=["msg_id", "markup"])
+def _find(pages: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(pages)
+        for b in batches:
+            rows = [(i, k) for i, t in zip(b.column("msg_id").to_pylist(), b.column("mes").to_pylist()) for k in markups(t, m)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], names=["msg_id", "markup"])
+
+    return run
+
+
+def _cleaned(pages: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(pages)
+        for b in batches:
+            texts = b.column("mes").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("msg_id"), pa.array([clean(t, m) for t in texts], pa.string())], names=["msg_id", "text"])
+
+    return run
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m = model()
-    for b in batches:
-        texts = b.column("mes").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("msg_id"), pa.array([clean(t, m) for t in texts], pa.string())], names=["msg_id", "text"])
+def _taken(pages: DataFrame | None) -> str | None:
+    """Labelled pages (text, spans array<struct<start, end, state>>) as JSON, or None; more than MOST_PAGES are refused."""
+    if pages is None:
+        return None
+    rows = pages.select("text", "spans").filter("text IS NOT NULL").orderBy("text").limit(MOST_PAGES + 1).collect()
+    if len(rows) > MOST_PAGES:
+        raise ValueError(f"more than {MOST_PAGES} labelled pages")
+    return json.dumps([(r.text, [tuple(x) for x in r.spans or ()]) for r in rows])
 
 
-def present_markups(messages: DataFrame) -> DataFrame:
+def present_markups(messages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(msg_id, markup): one row for each kind of markup present in a message."""
-    return messages.select("msg_id", "mes").mapInArrow(_find, "msg_id long, markup string")
+    return messages.select("msg_id", "mes").mapInArrow(_find(_taken(pages)), "msg_id long, markup string")
 
 
-def clean_texts(messages: DataFrame) -> DataFrame:
+def clean_texts(messages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(msg_id, text) of every message, cleaned."""
-    return messages.select("msg_id", "mes").mapInArrow(_cleaned, "msg_id long, text string")
+    return messages.select("msg_id", "mes").mapInArrow(_cleaned(_taken(pages)), "msg_id long, text string")

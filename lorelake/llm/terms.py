@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,41 +57,45 @@ def records(entries: DataFrame, messages: DataFrame) -> DataFrame:
     return mes.unionByName(key)
 
 
-def _counter(heavy: dict[str, dict[str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(heavy: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of a task: heavy terms in an array a field, the others in a dictionary that is handed on when it grows."""
+
     def out(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [()] * 5
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "field", "term", "n_occurrences", "n_records"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[str, dict[str, int]] = heavy.value if heavy else {}
         occ: dict[str, Counter] = {}
         rec: dict[str, Counter] = {}
         seen: Counter = Counter()
-        arrays = {f: np.zeros((len(ids), 2), np.int64) for f, ids in heavy.items()}
-
-        def settle(field: str) -> list[tuple]:
-            o, r = occ.pop(field), rec.pop(field)
-            if field in heavy:
-                a = arrays[field]
-                for term, i in heavy[field].items():
-                    if n := o.pop(term, 0):
-                        a[i] += (n, r.pop(term))
-            return [("light", field, t, n, r[t]) for t, n in o.items()]
-
+        arrays = {f: np.zeros((2, len(i)), np.int64) for f, i in ids.items()}
         for b in batches:
+            said: dict[str, tuple[list[int], list[int]]] = {f: ([], []) for f in ids}
             for field, text, vals in zip(b.column("field").to_pylist(), b.column("text").to_pylist(), b.column("vals").to_pylist()):
                 found = whole_values(vals) if text is None else terms_of(text)
                 seen[field] += 1
-                if found:
-                    if field not in occ:
-                        occ[field], rec[field] = Counter(), Counter()
-                    occ[field].update(found)
-                    rec[field].update(set(found))
+                if not found:
+                    continue
+                if field not in occ:
+                    occ[field], rec[field] = Counter(), Counter()
+                known, once = ids.get(field), set(found)
+                if known:
+                    said[field][0].extend([known[t] for t in found if t in known])
+                    said[field][1].extend([known[t] for t in once if t in known])
+                    found, once = [t for t in found if t not in known], [t for t in once if t not in known]
+                occ[field].update(found)
+                rec[field].update(once)
+            for field, both in said.items():
+                for counts, places in zip(arrays[field], both):
+                    counts += np.bincount(np.array(places, np.int64), minlength=len(counts))
             for field in list(occ):
                 if len(occ[field]) > FLUSH:
-                    yield out(settle(field))
-        rows = [r for field in list(occ) for r in settle(field)]
-        rows += [("heavy", f, t, int(arrays[f][i, 0]), int(arrays[f][i, 1])) for f, ids in heavy.items() for t, i in ids.items() if arrays[f][i, 0]]
+                    o, r = occ.pop(field), rec.pop(field)
+                    yield out([("light", field, t, n, r[t]) for t, n in o.items()])
+        rows = [("light", field, t, n, rec[field][t]) for field, o in occ.items() for t, n in o.items()]
+        rows += [("heavy", f, t, int(arrays[f][0, i]), int(arrays[f][1, i])) for f, known in ids.items() for t, i in known.items() if arrays[f][0, i]]
         rows += [("records", f, None, 0, n) for f, n in seen.items()]
         yield out(rows)
 
@@ -99,7 +104,7 @@ def _counter(heavy: dict[str, dict[str, int]]) -> Callable[[Iterator[pa.RecordBa
 
 def detect_heavy(recs: DataFrame, share: float = HEAVY_SHARE, fraction: float = SAMPLE) -> dict[str, dict[str, int]]:
     """{field: {term: index}} of the terms with at least that share of a field's tokens in the sample; at most 1/share a field."""
-    sums = recs.sample(fraction, seed=7).mapInArrow(_counter({}), PARTIAL).filter(F.col("term").isNotNull()).groupBy("field", "term").agg(F.sum("n_occurrences").alias("n"))
+    sums = recs.sample(fraction, seed=7).mapInArrow(_counter(None), PARTIAL).filter(F.col("term").isNotNull()).groupBy("field", "term").agg(F.sum("n_occurrences").alias("n"))
     sums = sums.join(F.broadcast(sums.groupBy("field").agg(F.sum("n").alias("total"))), "field")
     heavy: dict[str, dict[str, int]] = {}
     for r in sums.filter((F.col("n") >= 5) & (F.col("n") >= F.col("total") * share)).select("field", "term").orderBy("field", "term").collect():
@@ -110,7 +115,8 @@ def detect_heavy(recs: DataFrame, share: float = HEAVY_SHARE, fraction: float =
 
 def term_counts(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(field, term, n_occurrences, n_records) of every term, and (field, records) with the number of records of each field."""
-    partial = stored(recs.mapInArrow(_counter(detect_heavy(recs)), PARTIAL), "term-partials", ["kind"])
+    heavy_ids = recs.sparkSession.sparkContext.broadcast(detect_heavy(recs))  # at most 1/HEAVY_SHARE terms a field
+    partial = stored(recs.mapInArrow(_counter(heavy_ids), PARTIAL), "term-partials", ["kind"])
     sums = [F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")]
     heavy = partial.filter(F.col("kind") == "heavy").groupBy("field", "term").agg(*sums)  # a few thousand rows a task, summed by task before
     light = partial.filter(F.col("kind") == "light").groupBy("field", "term").agg(*sums)

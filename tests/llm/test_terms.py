@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 from collections import Counter
 
 import pytest
@@ -48,7 +50,7 @@ def test_flush(monkeypatch):
     monkeypatch.setattr(terms, "FLUSH", 3)
     batch = pa.RecordBatch.from_pydict({"field": ["mes"] * 3, "text": ["aa bb cc dd", "aa bb", "ee aa"], "vals": pa.array([None] * 3, pa.list_(pa.string()))})
     out = Counter()
-    for b in terms._counter({"mes": {"aa": 0}})(iter([batch, batch])):
+    for b in terms._counter(SimpleNamespace(value={"mes": {"aa": 0}}))(iter([batch, batch])):
         for r in b.to_pylist():
             if r["term"]:
                 out[r["term"]] += r["n_occurrences"]
