@@ -187,3 +187,20 @@ def undecided_dropped(rows: DataFrame) -> DataFrame:
 def prompt_order(rows: DataFrame, order: list[Column], by: str = "scene", first: int = 99_000) -> DataFrame:
     """``rows`` with prompt_order, numbers from ``first`` on in the order of presentation."""
     return rows.withColumn("prompt_order", F.row_number().over(Window.partitionBy(by).orderBy(*order)) + (first - 1))
+
+
+# Fixed value: the places of the blocks in a grading table.
+GRADE_BLOCKS = {"dynamic": 0, "promoted": 0, "sticky": 1, "constant": 2}
+
+
+def grade_order(rows: DataFrame, rank: str, by: str = "scene", tie: str = "entry_id") -> DataFrame:
+    """``rows`` with place: what was ranked first, then stickies, then constants, by ``rank`` within."""
+    block = F.coalesce(*[F.when(F.col("block") == b, n) for b, n in GRADE_BLOCKS.items()], F.lit(0))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(block, rank, tie)) - 1)
+
+
+def host_order(rows: DataFrame, by: str = "scene") -> DataFrame:
+    """``rows`` (sticky boolean, source, order, external) with place in the host's own batch: stickies first, then the source class, then higher orders; externals count as order -1."""
+    order = F.when(F.coalesce("external", F.lit(False)), -1).otherwise(F.coalesce("order", F.lit(0)))
+    w = Window.partitionBy(by).orderBy(F.coalesce("sticky", F.lit(False)).desc(), "source", order.desc(), "entry_id")
+    return rows.withColumn("place", F.row_number().over(w) - 1)

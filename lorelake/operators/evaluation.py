@@ -167,3 +167,10 @@ def cumulative_fit(rows: DataFrame, features: list[str], grade: str, cuts: list[
     counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(grade) >= c).cast("long")).alias(f"c{c}") for c in cuts]).first()
     at = lambda c: rows.withColumn("_y", (F.col(grade) >= c).cast("int"))
     return {c: logistic_fit(at(c), features, "_y", **kw) if 0 < (counts[f"c{c}"] or 0) < counts.n else None for c in cuts}
+
+
+def holm(tests: DataFrame, p: str = "p", by: list[str] = (), tie: list[str] = ()) -> DataFrame:
+    """``tests`` with p_holm, the p-values of a family (by) adjusted step-down; a family is a study's arms, so few rows."""
+    w = Window.partitionBy(*by).orderBy(p, *tie)
+    left = F.count(F.lit(1)).over(Window.partitionBy(*by)) - F.row_number().over(w) + 1
+    return tests.withColumn("_step", F.least(F.lit(1.0), left * F.col(p))).withColumn("p_holm", F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,6 +48,16 @@ def search(entries: DataFrame, query: str, fields: tuple[str, ...] = ("comment",
     return entries.withColumn("found_in", place).filter(F.col("found_in").isNotNull())
 
 
-def state_parts(entries: DataFrame) -> Column:
+def state_parts(entries: DataFrame | None = None) -> Column:
     """What an entry is, as a list for display."""
     return F.array_compact(F.array(F.when(_on("disable"), "disabled"), F.when(_on("constant"), "constant"), F.when(_on("vectorized"), "vector"), F.when(F.coalesce(F.size("keysecondary"), F.lit(0)) > 0, "gated")))
+
+
+def ranked_search(entries: DataFrame, query: str, fields: tuple[str, ...] = ("comment", "key", "content"), by: str = "world") -> DataFrame:
+    """``search`` with place: finds in titles before those in keys before those in texts, else in the order of uid."""
+    return search(entries, query, fields).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("found_in", "uid", "entry_id")))
+
+
+def packed_by_length(values: Column) -> Column:
+    """An array of strings, the longest first; equal lengths stay in order."""
+    return F.transform(F.array_sort(F.transform(values, lambda v, i: F.struct((-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))), lambda x: x["v"])

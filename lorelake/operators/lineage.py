@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.hashing import code_units, fnv1a, hex32
 from ..session import stored
 
 
@@ -102,3 +103,12 @@ def book_fingerprints(entries: DataFrame) -> DataFrame:
     live = entries.filter(~F.coalesce("disable", F.lit(False)) & (F.trim(F.coalesce("content", F.lit(""))) != ""))
     h = F.xxhash64("world", "uid", "content")
     return live.groupBy("world").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.length("content")).alias("chars"), F.bit_xor(h).alias("fingerprint"))
+
+
+def index_fingerprints(entries: DataFrame, mode: str = "paragraph", size: int = 1750, least: int = 120) -> DataFrame:
+    """(world, fingerprint) of the enabled entries with content, as ``count:chars:hash:mode:size:least``; the hash is a sum, so the order of entries doesn't count."""
+    live = entries.filter(~F.coalesce("disable", F.lit(False)) & (F.trim(F.coalesce("content", F.lit(""))) != ""))
+    units = F.size(code_units(F.col("content")))
+    h = fnv1a(F.concat_ws("\x1f", "world", F.col("uid").cast("string"), "content"))
+    s = live.groupBy("world").agg(F.count(F.lit(1)).alias("n"), F.sum(units).alias("chars"), (F.sum(h) % (1 << 32)).alias("h"))
+    return s.select("world", F.concat_ws(":", F.col("n").cast("string"), F.col("chars").cast("string"), hex32(F.col("h").cast("long")), F.lit(mode), F.lit(str(size)), F.lit(str(least))).alias("fingerprint"))

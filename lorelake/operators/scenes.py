@@ -99,3 +99,22 @@ def current_entries(entries: DataFrame) -> DataFrame:
     """Of the copies of (world, uid) the one stored last."""
     newest = entries.groupBy("world", "uid").agg(F.max(F.struct("saved_at", "entry_id")).entry_id.alias("entry_id"))
     return entries.join(newest.select("entry_id"), "entry_id", "left_semi")
+
+
+# The flags by which an entry asks to be matched against a source beside the chat.
+SOURCE_FLAGS = {"match_persona_description": "persona", "match_character_description": "description", "match_character_personality": "personality", "match_character_depth_prompt": "depth_prompt", "match_scenario": "scenario", "match_creator_notes": "creator_notes"}
+
+
+def used_sources(sources: DataFrame, entries: DataFrame) -> DataFrame:
+    """The sources (chat_id, world, source, text) that some entry of the book asks for."""
+    have = [c for c in SOURCE_FLAGS if c in entries.columns]
+    asked = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), SOURCE_FLAGS[c]) for c in have])) if have else F.array().cast("array<string>")
+    wanted = entries.select("world", F.explode(asked).alias("source")).distinct()
+    return sources.filter(F.coalesce("text", F.lit("")) != "").join(wanted, ["world", "source"], "left_semi")
+
+
+def source_segments(sources: DataFrame, entries: DataFrame, window: str = "paragraph") -> DataFrame:
+    """(seg_id, chat_id, world, source, text): the used sources as segments of their own, never a continuation of a message."""
+    used = used_sources(sources, entries)
+    cut = used.select("chat_id", "world", "source", F.posexplode(T.paragraphs("text")).alias("seg", "text")) if window == "paragraph" else used.withColumn("seg", F.lit(0))
+    return cut.select(F.concat_ws("/", F.lit("s"), "chat_id", "source", "seg").alias("seg_id"), "chat_id", "world", "source", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import f_beta, kappa, sign_test
+from .evaluation import f_beta, holm, kappa, ndcg, sign_test
 from .scenes import ORDER, sliding, spoken, usable_messages
 
 
@@ -105,3 +105,17 @@ def ungated(with_gate: DataFrame, without: DataFrame, hits: DataFrame) -> DataFr
 def repaired_tiers(entries: DataFrame, memory_title: str) -> DataFrame:
     """``entries`` with the tier that their title's form says."""
     return entries.withColumn("tier", F.when(F.coalesce(F.col("comment").rlike(memory_title), F.lit(False)), "memory").otherwise("reference"))
+
+
+def parameter_grid(rows: DataFrame, arms: dict[str, Column], scene: str, tie: str, k: int = 10) -> DataFrame:
+    """(arm, scenes, ndcg): each arm's score column re-ranks every scene; all arms are rows of one plan, so the grid is read once."""
+    each = rows.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), c.alias("arm_score")) for a, c in arms.items()])).alias("x")).select("*", "x.*")
+    out = ndcg(each, ["arm", scene], tie, k, score="arm_score")
+    return out.groupBy("arm").agg(F.count(F.lit(1)).alias("scenes"), F.avg("ndcg").alias("ndcg"))
+
+
+def parameter_screen(rows: DataFrame, arms: dict[str, Column], base: str, scene: str) -> DataFrame:
+    """(arm, plus, minus, ties, mean, p, p_holm): F2 of each arm's delivery (a condition) against the base's, scene by scene, p-values adjusted over the arms."""
+    each = rows.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), c.alias("delivered")) for a, c in arms.items()])).alias("x")).select(*[c for c in rows.columns if c not in ("arm", "delivered")], "x.*")
+    runs = delivered_f2(each, [scene, "arm"])
+    return holm(paired(runs, scene, "arm", base), tie=["arm"])

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -201,3 +201,61 @@ def form_vote(forms: DataFrame, by: list[str], form: str = "form") -> DataFrame:
     return counts.groupBy(*by).agg(F.max_by(F.col(form), F.struct("n", -shout, form)).alias(form))
 
 
+# Words before which a word is an object, and those before which it is a verb.
+DETERMINERS = "the a an this that his her its their my your our los la el whole each every some".split()
+PRONOUNS = "he she they i we you it who".split()
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(world, word, next) with counts; '.' stands for the end of a run."""
+    for b in batches:
+        rows: Counter = Counter()
+        for world, text in zip(b.column("world").to_pylist(), b.column("content").to_pylist()):
+            words = [w for w, _, _ in word_runs(text)]
+            rows.update((world, a, z) for a, z in zip(words, [*words[1:], "."]))
+        cols = list(zip(*((*k, n) for k, n in rows.items()))) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.string(), pa.int64()])], names=["world", "word", "next", "n"])
+
+
+def bigrams(entries: DataFrame) -> DataFrame:
+    """(world, word, next, n) over the word runs of a book's contents, counted in the task first."""
+    rows = entries.select("world", "content").mapInArrow(_contexts, "world string, word string, next string, n long")
+    return rows.groupBy("world", "word", "next").agg(F.sum("n").alias("n"))
+
+
+def successor_variety(entries: DataFrame) -> DataFrame:
+    """(world, word, uses, successors, only): how many different words follow a word, and the one if it is always the same."""
+    s = bigrams(entries).filter("word <> '.'").groupBy("world", "word").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("successors"), F.min("next").alias("only"))
+    return s.withColumn("only", F.when(F.col("successors") == 1, F.col("only")))
+
+
+def word_contexts(entries: DataFrame) -> DataFrame:
+    """(world, word, before, after_determiner, after_pronoun, verb_head, followed, by_determiner, takes_object): what stands around a word in its book.
+
+    verb_head: seen five times or more, mostly behind a pronoun and hardly ever behind a determiner; takes_object: mostly followed by a determiner.
+    """
+    pairs = bigrams(entries)
+    isin = lambda c, words: F.sum(F.when(F.col(c).isin(words), F.col("n")).otherwise(0))
+    before = pairs.filter("next <> '.'").groupBy("world", F.col("next").alias("w")).agg(F.sum("n").alias("before"), isin("word", DETERMINERS).alias("after_determiner"), isin("word", PRONOUNS).alias("after_pronoun"))
+    after = pairs.filter("word <> '.'").groupBy("world", F.col("word").alias("w")).agg(F.sum("n").alias("followed"), isin("next", DETERMINERS).alias("by_determiner"))
+    both = before.join(after, ["world", "w"], "full_outer").fillna(0).withColumnRenamed("w", "word")
+    verb = (F.col("before") >= 5) & (F.col("after_pronoun") / F.col("before") > 0.4) & (F.col("after_determiner") / F.col("before") < 0.1)
+    takes = (F.col("followed") >= 2) & (F.col("by_determiner") / F.col("followed") > 0.5)
+    return both.withColumn("verb_head", F.coalesce(verb, F.lit(False))).withColumn("takes_object", F.coalesce(takes, F.lit(False)))
+
+
+def canon(key: Column) -> Column:
+    """A key as its words of two letters or more, folded."""
+    return F.array_join(F.transform(F.regexp_extract_all(key, F.lit(r"[\p{L}][\p{L}'’-]+"), F.lit(0)), lambda w: T.fold(w)), " ")
+
+
+def form_votes(entries: DataFrame) -> DataFrame:
+    """(world, word, form): how each word of a book is mostly written inside its runs."""
+    return form_vote(entries.select("world", "content").mapInArrow(_forms, "world string, word string, form string"), ["world", "word"])
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(w, low, core) for w, t in zip(b.column("world").to_pylist(), b.column("content").to_pylist()) for low, core, _ in word_runs(t) if low != "."]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["world", "word", "form"])

@@ -695,3 +695,6 @@ def user_sessions(spark, d):
 def merged_spans(spark, d):
     ev = table(spark, d, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.unix_seconds(F.col("ts").cast("timestamp")) + 600).alias("until"))
     return matching.merge_spans(ev, ["user_id"])
+
+
+from . import operator_queries  # noqa: E402,F401  registers further queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -15,12 +15,12 @@ def _stem(c: str = "_file") -> Column:
     return F.regexp_extract(F.col(c), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of book documents (JSON, one book a file). A missing world is the book's name, else the file's; uid falls back to its key.
+def read_books(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of book documents (JSON, one book a file, or with ``lines`` one a line). A missing world is the book's name, else the file's; uid falls back to its key.
 
     ``delayUntilRecursion`` may be a boolean or a level; it comes out as a level, 0 without one.
     """
-    books = spark.read.schema(schema.BOOK).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
+    books = spark.read.schema(schema.BOOK).option("multiLine", not lines).json(path).withColumn("_file", F.input_file_name())
     rows = books.select(F.coalesce("name", F.url_decode(_stem())).alias("_book"), F.explode("entries").alias("_uid", "e")).select("_book", "_uid", "e.*")
     level = F.when(F.col("delayUntilRecursion") == "true", 1).otherwise(F.coalesce(F.expr("try_cast(delayUntilRecursion AS int)"), F.lit(0)))
     out = rows.withColumn("world", F.coalesce("world", "_book")).withColumn("uid", F.coalesce("uid", F.col("_uid").cast("long"))).withColumn("delayUntilRecursion", level)
@@ -30,11 +30,17 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 def read_chats(spark: SparkSession, path: str, keep_hidden: bool = False) -> DataFrame:
     """(chat_id, idx, ...message) of chat logs (JSON lines; the first line is metadata). Unreadable lines go; so do hidden and empty messages.
 
-    An attachment's prefix of ``fileLength`` characters is taken off the text. idx is the place in the file, from a count by line offset: the
-    text source keeps a file's lines in order within its splits.
+    An attachment's prefix of ``fileLength`` characters is taken off the text. idx is the place in the file: a log is read in splits, lines are
+    numbered within a split, and the lines of the splits before are added, so no task holds a whole log.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("chat_id"), "value")
-    lines = raw.select("chat_id", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter("line > 0 AND trim(value) <> ''")
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    raw = spark.read.text(path).select(*[F.col(c) for c in at], "value", F.monotonically_increasing_id().alias("_row"))
+    sizes = raw.groupBy("file_path", "file_block_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file_path", "file_block_start", before.alias("_before"))  # one row a split
+    local = F.row_number().over(Window.partitionBy("file_path", "file_block_start").orderBy("_row")) - 1
+    lines = raw.withColumn("_at", local).join(starts, ["file_path", "file_block_start"]).select(F.url_decode(F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("chat_id"), (F.col("_at") + F.col("_before")).cast("int").alias("line"), "value")
+    lines = lines.filter("line > 0 AND trim(value) <> ''")
     parsed = lines.withColumn("m", F.from_json("value", schema.MESSAGE, {"mode": "PERMISSIVE"})).filter(F.col("value").startswith("{") & F.expr("try_parse_json(value) IS NOT NULL"))
     text = F.when(F.col("m.extra.fileLength") > 0, F.substring(F.col("m.mes"), F.col("m.extra.fileLength") + 1, F.length("m.mes"))).otherwise(F.col("m.mes"))
     rows = parsed.select("chat_id", F.col("line").alias("idx"), "m.name", F.coalesce("m.is_user", F.lit(False)).alias("is_user"), F.coalesce("m.is_system", F.lit(False)).alias("is_system"), "m.send_date", text.alias("mes"), "m.swipe_id")

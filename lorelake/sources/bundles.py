@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import schema
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.BUNDLE).option("multiLine", True).json(path)
+def read_bundles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Bundle documents, one a file, or one a line, which can be split among tasks."""
+    return spark.read.schema(schema.BUNDLE).option("multiLine", not lines).json(path)
 
 
 def candidates(bundles: DataFrame) -> DataFrame:

@@ -57,3 +57,14 @@ def orphan_collections(stored_: DataFrame, live: DataFrame) -> DataFrame:
     """(collection, bytes) of stored collections that no live book maps to, and their sum by rollup."""
     lost = stored_.join(live.select("collection"), "collection", "left_anti")
     return lost.rollup("collection").agg(F.sum("bytes").alias("bytes"))
+
+
+def adopt_hashes(entries: DataFrame, host: DataFrame) -> DataFrame:
+    """``entries`` (world, uid, hash) with the host's hash where it knows the entry (world, uid, hash)."""
+    theirs = host.select("world", "uid", F.col("hash").alias("_h"))
+    return entries.join(theirs, ["world", "uid"], "left").withColumn("hash", F.coalesce("_h", "hash")).drop("_h")
+
+
+def admit_ceiling(pooled: bool, entries: int = 1000, chunks_: int = 10_000) -> int:
+    """How many rows a search returns before they are pooled, or after."""
+    return entries if pooled else chunks_
