@@ -237,3 +237,6 @@ ORACLE: dict[str, str] = {
       i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM n)
       SELECT user_id, min(a) AS at, max(a + 600) AS until, count(*) AS n FROM i GROUP BY user_id, island""",
 }
+
+
+from . import operator_oracle  # noqa: E402,F401  adds further SQL
