@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions.text import NAME_PARTICLES
-from ..operators.suggest import DETERMINERS, PRONOUNS
-from .oracle import ECREDIT, ITEMS, ORACLE, PAIRS, SIGNALS, USABLE, VERDICTS, _q, fold, masked, tokens
+from ..operators.suggest import DETERMINERS, LINKERS, PARTICLES, PRONOUNS
+from .oracle import CLASS, ECREDIT, FORMS, ITEMS, ORACLE, PAIRS, RANKED, SIGNALS, USABLE, VERDICTS, WALK, _q, fold, masked, ortho, tokens
 
 CURRENT = "SELECT * FROM book_entries QUALIFY row_number() OVER (PARTITION BY world, uid ORDER BY saved_at DESC NULLS LAST, entry_id DESC) = 1"
 UNITS = lambda c: f"flatten(list_transform(string_split({c}, ''), lambda x: CASE WHEN ord(x) < 65536 THEN [ord(x)::BIGINT] ELSE [(55296 + ((ord(x) - 65536) >> 10))::BIGINT, (56320 + ((ord(x) - 65536) & 1023))::BIGINT] END))"
@@ -150,4 +150,78 @@ OPERATOR_ORACLE: dict[str, str] = {
     "turn_windows": f"SELECT msg_id, CAST(count(*) OVER w AS INTEGER) AS n, CAST(sum(length(mes)) OVER w AS INTEGER) AS chars FROM ({USABLE}) WINDOW w AS (PARTITION BY chat_id ORDER BY t, msg_id ROWS 2 PRECEDING)",
 }
 
+VOCAB = """SELECT entry_id, world, coalesce(regexp_matches(comment, '(?i)^\\s*\\[?\\s*arc\\b'), false) AS arc, list_sort(list_distinct(regexp_extract_all(lower(content), '[\\p{L}][\\p{L}''-]{2,}'))) AS ws FROM book_entries WHERE length(content) > 200"""
+BODIES = "SELECT DISTINCT world, md5(lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) AS h FROM book_entries WHERE coalesce(content, '') <> ''"
+
+
+def _names(rows: str, key: str, text: str) -> str:
+    """(key, term): words that stand capitalised inside a sentence of a text."""
+    return f"""SELECT DISTINCT {key}, lower(t) AS term FROM (SELECT {key}, unnest(w[2:]) AS t FROM (SELECT {key}, list_filter(regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}\\p{{M}}'']+'), lambda x: length(x) > 1) AS w FROM (
+      SELECT {key}, trim(unnest(regexp_split_to_array(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')), E' \\t\\r\\n') AS s FROM ({rows}))
+      WHERE NOT regexp_full_match(s, '#{{1,6}}\\s+\\S.*|\\*\\*[^*]+:?\\*\\*|\\p{{Lu}}[\\p{{L}}'' ]{{0,30}}:'))) WHERE regexp_matches(t, '^\\p{{Lu}}')"""
+
+
+GAZETTEER = f"SELECT DISTINCT unnest({tokens('x')}) AS term FROM (SELECT unnest(list_concat(list_concat(coalesce(key, []), coalesce(keysecondary, [])), [comment])) AS x FROM book_entries) WHERE x IS NOT NULL"
+TEXTS = f"SELECT msg_id, {fold('m')} AS f, {ortho('m')} AS o FROM (SELECT msg_id, {masked('nfc_normalize(mes)')} AS m FROM chat_messages WHERE NOT coalesce(is_system, false) AND coalesce(mes, '') <> '')"
+KEYS = f"SELECT DISTINCT key, form, {ortho('nfc_normalize(key)')} AS o FROM ({FORMS})"
+STOPS = f"SELECT world, word FROM ({OPERATOR_ORACLE['cap_ratio']}) JOIN (SELECT world, count(*) AS n FROM book_entries GROUP BY world) USING (world) WHERE df / n > 0.3 AND cf / df < 6 AND NOT is_name"
+PACK_WORDS = "the a an and or of to in on at for from with by is are was were be it its that this as but not no so than then if he she they i we you his her their my your".split()
+SEQ = f"SELECT world, entry_id, w, row_number() OVER (PARTITION BY entry_id ORDER BY i, j) AS pos FROM ({RUNS})"
+GRAMS = f"""SELECT world, entry_id, gram, content, nxt FROM (
+  WITH RECURSIVE stop AS MATERIALIZED ({STOPS}), q AS MATERIALIZED (SELECT s.world, s.entry_id, s.pos, s.w, s.w IN ({IN(sorted(LINKERS))}) AS link, s.w IN ({IN(sorted(PARTICLES))}) AS part,
+      length(s.w) < 2 OR s.w = '.' OR s.w IN ({IN(PACK_WORDS)}) OR stop.word IS NOT NULL AS blocked FROM ({SEQ}) s LEFT JOIN stop ON stop.world = s.world AND stop.word = s.w),
+    g AS (SELECT world, entry_id, pos, w AS gram, CASE WHEN link THEN 0 ELSE 1 END AS content, NOT link AS emit FROM q WHERE NOT blocked OR part
+      UNION ALL SELECT g.world, g.entry_id, q.pos, g.gram || ' ' || q.w, g.content + CASE WHEN q.link THEN 0 ELSE 1 END, NOT q.link FROM g JOIN q ON q.entry_id = g.entry_id AND q.pos = g.pos + 1 WHERE q.link OR (NOT q.blocked AND g.content < 4))
+  SELECT g.world, g.entry_id, gram, content, coalesce(n.w, '.') AS nxt FROM g LEFT JOIN q n ON n.entry_id = g.entry_id AND n.pos = g.pos + 1 WHERE emit)"""
+DATED = "regexp_matches(gram, '\\b(?:19|20)\\d{2}\\b') OR regexp_matches(gram, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b') OR (regexp_matches(gram, '\\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\\b') AND regexp_matches(gram, '\\d'))"
+SCORED = f"""SELECT world, entry_id, gram, tf, df, words, tf * ln((n + 1) / (df + 0.5::DOUBLE)) * (1 + 0.5::DOUBLE * (content - 1)) AS score FROM (SELECT *, len(string_split(gram, ' ')) AS words, sum(tf) OVER b AS cf, count(*) OVER b AS df, min(lo) OVER b AS n1, max(hi) OVER b AS n2 FROM (
+    SELECT world, entry_id, gram, any_value(content) AS content, count(*) AS tf, min(nxt) AS lo, max(nxt) AS hi FROM ({GRAMS}) GROUP BY world, entry_id, gram) WINDOW b AS (PARTITION BY world, gram))
+  JOIN (SELECT world, count(*) AS n FROM book_entries GROUP BY world) USING (world) WHERE df / n <= 0.35 AND NOT (words > 1 AND cf >= 2 AND n1 = n2 AND n1 <> '.') AND NOT ({DATED})"""
+WALKED = f"SELECT w.*, coalesce(e.vectorized, false) AS vector FROM ({WALK}) w JOIN book_entries e USING (entry_id)"
+
+OPERATOR_ORACLE |= {
+    "pooled_cosine_all": """WITH mean AS (SELECT list(x ORDER BY i) AS mean FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY i)),
+      base AS (SELECT vec_id, label, list_transform(list_zip(embedding, mean), lambda z: z[1]::DOUBLE - z[2]) AS v FROM embeddings, mean)
+      SELECT q.vec_id AS query_id, b.label, round(max(round(list_cosine_similarity(q.v, b.v), 9)), 6) AS score, arg_max(b.vec_id, (round(list_cosine_similarity(q.v, b.v), 9), b.vec_id)) AS vec_id FROM base q, base b WHERE q.vec_id % 100 = 0 GROUP BY ALL""",
+    "near_duplicates": f"""WITH RECURSIVE v AS MATERIALIZED (SELECT * FROM ({VOCAB}) WHERE len(ws) > 0), r AS MATERIALIZED (SELECT min(entry_id) AS rep, world, arc, ws FROM v GROUP BY world, arc, ws),
+      l AS MATERIALIZED (SELECT a.rep AS u, b.rep AS v FROM r a JOIN r b ON a.world = b.world AND a.arc = b.arc AND a.rep <> b.rep WHERE len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) >= 0.35),
+      c AS (SELECT rep AS node, rep AS root FROM r UNION SELECT l.v, c.root FROM c JOIN l ON l.u = c.node), k AS (SELECT node, min(root) AS class FROM c GROUP BY node), d AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+      SELECT e.entry_id, coalesce(k.class, e.entry_id) AS class_id, coalesce(d.n, 0) AS links FROM book_entries e LEFT JOIN v USING (entry_id) LEFT JOIN r ON r.world = v.world AND r.arc = v.arc AND r.ws = v.ws LEFT JOIN k ON k.node = r.rep LEFT JOIN d ON d.u = r.rep""",
+    "lineage_components": f"""WITH RECURSIVE s AS MATERIALIZED ({BODIES}), n AS (SELECT world, count(*) AS n FROM s GROUP BY world),
+      l AS MATERIALIZED (SELECT a.world AS u, b.world AS v FROM s a JOIN s b ON a.h = b.h AND a.world <> b.world JOIN n x ON x.world = a.world JOIN n y ON y.world = b.world GROUP BY a.world, b.world, x.n, y.n HAVING count(*) / least(x.n, y.n) >= 0.3),
+      c AS (SELECT DISTINCT world AS node, world AS root FROM book_entries UNION SELECT l.v, c.root FROM c JOIN l ON l.u = c.node)
+      SELECT node AS world, arg_min(root, (length(root), root)) AS lineage FROM c GROUP BY node""",
+    "name_idf": f"""SELECT world, term, count(*) AS df, ndoc FROM ({_names(f"SELECT entry_id, {ortho('content')} AS t FROM book_entries WHERE trim(coalesce(content, '')) <> ''", "entry_id", "t")}) JOIN book_entries USING (entry_id)
+      JOIN (SELECT world, count(*) AS ndoc FROM book_entries WHERE trim(coalesce(content, '')) <> '' GROUP BY world) USING (world) GROUP BY world, term, ndoc""",
+    "name_terms": f"""WITH q AS ({QUERY_TEXT}), t AS (SELECT chat_id, unnest(list_distinct({tokens("query")})) AS term FROM q), n AS ({_names(f"SELECT chat_id, {ortho('query')} AS t FROM q", "chat_id", "t")}), g AS ({GAZETTEER})
+      SELECT chat_id, CASE WHEN n.term IS NOT NULL THEN 3.0::DOUBLE ELSE 1.0 END AS weight, count(*) AS n FROM t LEFT JOIN n USING (chat_id, term) WHERE n.term IS NOT NULL OR t.term IN (SELECT term FROM g) GROUP BY ALL""",
+    "substring_shares": f"""WITH t AS MATERIALIZED ({TEXTS}), k AS MATERIALIZED ({KEYS}),
+      h AS (SELECT key, msg_id, bool_or(regexp_matches(f, '(?:^|[^{CLASS}]|--)' || regexp_escape(form) || '(?:$|[^{CLASS}]|--)')) AS w, bool_or(contains(t.o, k.o) OR (contains(k.o, '-') AND length(trim(replace(k.o, '-', ' '))) = length(k.o) AND contains(t.o, replace(k.o, '-', ' ')))) AS c
+        FROM k JOIN t ON contains(f, form) GROUP BY key, msg_id)
+      SELECT key, count(*) AS any, CAST(count(*) FILTER (w) AS BIGINT) AS as_word, CAST(count(*) FILTER (c) AS BIGINT) AS in_case FROM h GROUP BY key""",
+    "budget_walk_slack": f"""WITH RECURSIVE w AS MATERIALIZED ({WALKED}), r AS (
+        SELECT scene, -1 AS walk, CAST(NULL AS BIGINT) AS entry_id, true AS admitted, CAST([] AS VARCHAR[]) AS reasons, 0 AS spent, 0 AS in_prompt, 0 AS dyn, 0 AS vec, false AS used FROM (SELECT DISTINCT scene FROM w)
+        UNION ALL SELECT scene, walk, entry_id, ok, CASE WHEN ok THEN CAST([] AS VARCHAR[]) ELSE reasons END, CASE WHEN ok AND NOT exempt THEN spent + tokens ELSE spent END, CASE WHEN ok THEN in_prompt + tokens ELSE in_prompt END,
+          dyn + CASE WHEN ok AND NOT exempt AND block = 'dynamic' THEN 1 ELSE 0 END, vec + CASE WHEN ok AND NOT exempt AND vector AND {RANKED} THEN 1 ELSE 0 END, used OR (ok AND NOT exempt AND rescued)
+        FROM (SELECT *, len(reasons) = 0 OR exempt AS ok FROM (SELECT w.scene, w.walk, w.entry_id, w.tokens, w.block, w.exempt, w.vector, r.spent, r.in_prompt, r.dyn, r.vec, r.used, r.spent + w.tokens > 1500 AND r.spent + w.tokens <= 1650 AND NOT r.used AS rescued,
+          list_filter([CASE WHEN r.spent + w.tokens > 1500 AND NOT (r.spent + w.tokens <= 1650 AND NOT r.used) THEN 'tokens' END, CASE WHEN w.block = 'dynamic' AND r.dyn >= 6 THEN 'dynamic' END, CASE WHEN {RANKED} AND w.vector AND r.vec >= 3 THEN 'vector' END], lambda x: x IS NOT NULL) AS reasons
+          FROM r JOIN w ON w.scene = r.scene AND w.walk = r.walk + 1)))
+      SELECT entry_id, admitted, reasons, CAST(spent AS BIGINT) AS spent, CAST(in_prompt AS BIGINT) AS in_prompt, NOT admitted AND walk > max(CASE WHEN admitted THEN walk ELSE -1 END) OVER (PARTITION BY scene) AS tail FROM r WHERE walk >= 0""",
+    "ngram_tfidf": f"SELECT world, CAST(words AS INTEGER) AS words, count(*) AS n, round(max(score), 5) AS best FROM ({SCORED}) GROUP BY ALL",
+    "cohesion_bigram": f"""WITH d AS MATERIALIZED (SELECT DISTINCT world, gram, words, df FROM ({SCORED})), s AS (SELECT world, gram, df, unnest([array_to_string(string_split(gram, ' ')[1:2], ' '), array_to_string(string_split(gram, ' ')[-2:], ' ')]) AS s FROM d WHERE words > 2)
+      SELECT s.world, s.gram, coalesce(any_value(s.df) / (2.0::DOUBLE * max(b.df)), 1.0) AS cohesion FROM s LEFT JOIN d b ON b.world = s.world AND b.gram = s.s GROUP BY s.world, s.gram""",
+}
+
+NAMED = f"SELECT world, word FROM ({OPERATOR_ORACLE['cap_ratio']}) WHERE is_name"
+OPERATOR_ORACLE["key_suggestions"] = f"""WITH named AS MATERIALIZED ({NAMED}), g AS MATERIALIZED ({SCORED}),
+  odd AS (SELECT DISTINCT entry_id, gram FROM (SELECT world, entry_id, gram, unnest(string_split(gram, ' ')) AS word FROM g WHERE tf < 2) WHERE word NOT IN ({IN(sorted(LINKERS))}) AND (world, word) NOT IN (SELECT world, word FROM named)),
+  r AS MATERIALIZED (SELECT * FROM g ANTI JOIN odd USING (entry_id, gram)), d AS MATERIALIZED (SELECT DISTINCT world, gram, words, df FROM r),
+  s AS (SELECT world, gram, df, unnest([array_to_string(string_split(gram, ' ')[1:2], ' '), array_to_string(string_split(gram, ' ')[-2:], ' ')]) AS s FROM d WHERE words > 2),
+  k AS (SELECT s.world, s.gram, coalesce(any_value(s.df) / (2.0::DOUBLE * max(b.df)), 1.0) AS cohesion FROM s LEFT JOIN d b ON b.world = s.world AND b.gram = s.s GROUP BY s.world, s.gram),
+  c AS MATERIALIZED (SELECT r.*, coalesce(cohesion, 1.0) >= 0.4 OR words < 3 AS cohesive FROM r LEFT JOIN k USING (world, gram)),
+  p AS (SELECT l.entry_id, l.gram AS long, s.gram AS short, l.cohesive, s.words FROM c l JOIN c s ON l.entry_id = s.entry_id AND l.tf = s.tf AND l.gram <> s.gram AND contains(' ' || l.gram || ' ', ' ' || s.gram || ' ') WHERE l.words > 1),
+  lost AS (SELECT entry_id, short AS gram FROM p WHERE cohesive AND words > 1 UNION SELECT entry_id, long FROM p WHERE NOT cohesive AND words = 2 AND (starts_with(long, short || ' ') OR ends_with(long, ' ' || short))),
+  have AS (SELECT entry_id, trim(lower(unnest(key))) AS gram FROM book_entries)
+  SELECT world, entry_id, gram, CAST(tf AS INTEGER) AS tf, df, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, gram) AS rank FROM c WHERE (entry_id, gram) NOT IN (SELECT entry_id, gram FROM lost) AND (entry_id, gram) NOT IN (SELECT entry_id, gram FROM have WHERE gram IS NOT NULL)) WHERE rank <= 10"""
+
 ORACLE.update(OPERATOR_ORACLE)
