@@ -7,10 +7,12 @@ Patterns between slashes have no literal to look for and are evaluated on the se
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +60,21 @@ def _automaton(patterns: list[str]) -> ahocorasick.Automaton:
     return a
 
 
-def _hits(patterns: list[str]):
+_built: dict[str, ahocorasick.Automaton] = {}  # a worker builds an automaton once and keeps the last few
+
+
+def _kept(name: str, patterns: list[str]) -> ahocorasick.Automaton:
+    if name not in _built:
+        if len(_built) >= 4:
+            _built.clear()
+        _built[name] = _automaton(patterns)
+    return _built[name]
+
+
+def _hits(name: str, sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(patterns)
+        patterns = sent.value
+        auto = _kept(name, patterns)
         for b in batches:
             at, found, counts = [], [], []
             for row, text in enumerate(b.column("text").to_pylist()):
@@ -85,7 +99,8 @@ def literal_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
     out, block = None, []
 
     def over(part: list[str]) -> DataFrame:
-        return segments.select("seg_id", "text").mapInArrow(_hits(part), "seg_id string, form string, n int")
+        sent = segments.sparkSession.sparkContext.broadcast(part)  # at most PATTERN_BLOCK patterns
+        return segments.select("seg_id", "text").mapInArrow(_hits(uuid.uuid4().hex, sent), "seg_id string, form string, n int")
 
     for r in forms.toLocalIterator():
         block.append(r.form)
@@ -240,15 +255,18 @@ def _tree(key: str) -> S.Node | None:
 def _evaluated(block: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = [_tree(k) for k in block]
-        always, by_form = [], {}
+        always, by_form, by_run = [], {}, {}
         for i, tree in enumerate(trees):
+            if run_ := S.required_literal(block[i]):
+                by_run.setdefault(run_, set()).add(i)
+                continue
             forms = [f for f in S.literals(tree) if f] if S.needs_term(tree) else []
             for f in forms:
                 by_form.setdefault(f, set()).add(i)
             if not forms:
                 always.append(i)
-        names = list(by_form)
-        auto = _automaton(names)
+        names, runs = list(by_form), list(by_run)
+        auto, plain = _automaton(names), _automaton(runs)
         for b in batches:
             rows = []
             for seg_id, text in zip(b.column("seg_id").to_pylist(), b.column("text").to_pylist()):
@@ -256,6 +274,8 @@ def _evaluated(block: list[str]):
                 for form in {i for _, (i, _) in auto.iter(T.fold_text(T.mask_tags(text or "")))} if names else ():
                     asked |= by_form[names[form]]
                 seg = S.Segment(text or "")
+                for found in {i for _, (i, _) in plain.iter(seg.nfc.casefold())} if runs else ():
+                    asked |= by_run[runs[found]]
                 rows += [(block[i], seg_id) for i in sorted(asked) if seg.raw and S.evaluate(trees[i], seg).matched]
             cols = list(zip(*rows)) if rows else [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["key", "seg_id"])
@@ -266,7 +286,8 @@ def _evaluated(block: list[str]):
 def evaluated_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, seg_id): segments (seg_id, text) that the usable expressions and patterns of the keys match, in one pass a block of keys.
 
-    An expression that no text matches without one of its terms is asked only where the automaton reports a term, all others everywhere.
+    An expression that no text matches without one of its terms is asked only where the automaton reports a term, a pattern only where a run of characters
+    that all its matches hold stands in the text, all others everywhere.
     """
     out, block = None, []
 

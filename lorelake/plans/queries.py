@@ -196,22 +196,35 @@ def recursion_closure(spark, d):
     return activation.recursion(entries, activation.activated(entries, segs, scene_of).select("chat_id", "entry_id"))
 
 
+def _similarity(spark, d, entries: DataFrame, fired: DataFrame) -> DataFrame:
+    """(chat_id, entry_id, cosine) of the fired entries: the best chunk against the chat's last messages, both centred on the book's mean chunk."""
+    pieces = index.wanted(entries).join(entries.select("entry_id", "world"), "entry_id")
+    vectors = index.embed(pieces.select("hash", "text")).select("hash", "vector")
+    pieces = stored(pieces.select("hash", "entry_id", "world").join(vectors, "hash"), "chunk-vectors")
+    mean = dense.corpus_mean(pieces, "vector", by=["world"]).select("world", "mean")
+    asked = index.embed(scenes.query_text(_messages(spark, d), CFG.message_depth).select(F.xxhash64("chat_id").alias("hash"), F.col("query").alias("text"))).select("hash", F.col("vector").alias("q"))
+    pairs = fired.select("chat_id", "entry_id").join(pieces, "entry_id").join(mean, "world").withColumn("hash", F.xxhash64("chat_id")).join(asked, "hash")
+    cosine = dense.cosine(dense.centred(F.col("vector"), F.col("mean")), dense.centred(F.col("q"), F.col("mean")))
+    return pairs.groupBy("chat_id", "entry_id").agg(F.max(F.round(cosine, 9)).alias("cosine"))
+
+
 @query
 def activate_rank_deliver(spark, d):
-    """Keys of a chat's book that fire in its last ten messages, ranked by BM25 of those messages, cut, budgeted, in prompt order."""
+    """Keys of a chat's book that fire in its last ten messages, ranked by similarity, BM25 and key scores, cut, budgeted, in prompt order."""
     segs, scene_of = _scenes(spark, d)
     entries = scenes.current_entries(_entries(spark, d))
     fired = stored(activation.activated(entries, segs, scene_of), "fired")
     asked = scenes.query_text(_messages(spark, d), CFG.message_depth).select("chat_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    owned = table(spark, d, "chats").filter("world_info IS NOT NULL").select("chat_id", F.col("world_info").alias("world"))
-    post = lexical.postings(scenes.eligible(entries), ["world", "entry_id"], "content")
+    post = stored(lexical.postings(scenes.eligible(entries), ["world", "entry_id"], "content"), "postings")  # read for frequencies and for scores
     stats = scenes.eligible(entries).groupBy("world").agg(F.count(F.lit(1)).alias("ndoc"), F.avg(F.size(T.tokens("content"))).alias("avgdl"))
     df = post.groupBy("world", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "world").filter(F.col("df") <= CFG.stopword_df * F.col("ndoc"))
-    terms = asked.join(owned, "chat_id").join(df, ["world", "term"])
-    rated = terms.join(fired.select("chat_id", "entry_id"), "chat_id").join(post.drop("world"), ["entry_id", "term"])
+    # only the fired entries' postings meet the chats, by chat and term, so that a chat with many messages is no hot key
+    held = post.join(fired.select("entry_id").distinct(), "entry_id", "left_semi").join(fired.select("chat_id", "entry_id"), "entry_id")
+    rated = held.join(asked, ["chat_id", "term"]).join(df, ["world", "term"])
     text = rated.groupBy("chat_id", "entry_id").agg(F.sum(lexical.idf(F.col("df"), F.col("ndoc")) * lexical.term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("text"))
     rows = stored(fired.withColumnRenamed("score", "keys").join(text, ["chat_id", "entry_id"], "left").fillna(0.0, ["text"]), "signals")
-    rows = relevance.score(rows, ["text", "keys"], [-1.0, 0.9, 0.4], [-2.0, 0.8, 0.3], ["chat_id"])
+    rows = stored(rows.join(_similarity(spark, d, entries, fired), ["chat_id", "entry_id"], "left"), "all-signals")
+    rows = relevance.score(rows, ["cosine", "text", "keys"], [-1.0, 0.5, 0.9, 0.4], [-2.0, 0.5, 0.8, 0.3], ["chat_id"])
     kept = relevance.cut(rows, CFG.relevance_cutoff).join(entries.select("entry_id", "uid", "world", "content", "vectorized"), "entry_id")
     items = kept.select(
         F.col("chat_id").alias("scene"), "entry_id", F.lit("dynamic").alias("block"), "e_credit", "log_weight", F.col("uid").alias("authored"), F.lit(0).alias("tier"), F.lit(1.0).alias("weight"), F.lit(0).alias("offset"),

@@ -476,6 +476,40 @@ def compiled(key: str) -> regex.Pattern | None:
         return None
 
 
+def _runs(parsed, out: list[str]) -> None:
+    """Runs of plain characters that every match of a parsed pattern holds."""
+    run = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL" and chr(arg).isascii() and (chr(arg).isalnum() or arg == 32):
+            run += chr(arg).lower()
+            continue
+        if name == "SUBPATTERN":
+            inner: list[str] = []
+            _runs(arg[-1], inner)
+            out += inner
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            _runs(arg[2], out)
+        out.append(run)
+        run = ""
+    out.append(run)
+
+
+@lru_cache(maxsize=4096)
+def required_literal(key: str, least: int = 3) -> str | None:
+    """A run of ASCII letters, digits and blanks that each text a pattern key matches holds, case aside; None if none is certain."""
+    m = REGEX_KEY.match(key)
+    if not m or "x" in m[2]:
+        return None
+    try:
+        runs: list[str] = []
+        _runs(re._parser.parse(_python_pattern(m[1])), runs)
+    except (re.error, OverflowError, RecursionError):
+        return None
+    best = max(runs, key=len, default="")
+    return best if len(best.strip()) >= least else None
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------------------
 
 

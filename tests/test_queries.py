@@ -1,47 +1,26 @@
-"""Each registered query against its SQL, and those without SQL for rows, on the smallest tables."""
-
-import math
-import os
+"""Each registered query against its SQL on the smallest tables. Those without SQL are in test_brute.py; the llm ones in tests/llm."""
 
 import pytest
 
-import __spark_entry__ as entry
+from lorelake.plans.oracle import ORACLE
+from lorelake.plans.queries import QUERIES
+
+from .compare import DATA, assert_like_sql, duck_views, no_tables
+from .test_brute import BRUTE
 
-DATA = os.environ.get("LORELAKE_TESTDATA", "/root/testdata/sf0.001")
-pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+pytestmark = no_tables
 
 
 @pytest.fixture(scope="module")
 def duck():
-    import duckdb
-
-    con = duckdb.connect()
-    for f in os.listdir(DATA):
-        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
-    return con
-
+    return duck_views(DATA)
 
-def _plain(v):
-    return round(float(v), 5) if isinstance(v, float) and not math.isnan(v) else float(v) if hasattr(v, "as_tuple") else repr(v)
 
-
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
-    rows, cols = df.collect(), sorted(df.columns)
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        return
-    cur = duck.execute(sql)
-    names = [d[0] for d in cur.description]
-    assert sorted(names) == cols
-    want = sorted(repr([_plain(r[names.index(c)]) for c in cols]) for r in cur.fetchall())
-    assert sorted(repr([_plain(r[c]) for c in cols]) for r in rows) == want
-
-
-def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert_like_sql(QUERIES[name](spark, DATA), duck, ORACLE[name])
 
 
-def test_flagship(spark):
-    assert entry.entry(spark).columns
+def test_every_query_is_compared():
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLE) | set(BRUTE)
