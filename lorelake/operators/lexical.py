@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import spread, stored
 
 
 def _counted(key: list[str]):
@@ -32,7 +33,7 @@ def _counted(key: list[str]):
 
 def postings(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key..., term, tf, dl): each document's terms, counted in one Arrow pass over the documents, so no shuffle."""
-    rows = docs.select(*key, F.col(text).alias("text"))
+    rows = spread(docs.select(*key, F.col(text).alias("text")))
     schema = StructType([*[rows.schema[k] for k in key], StructField("term", StringType()), StructField("tf", LongType()), StructField("dl", IntegerType())])
     return rows.mapInArrow(_counted(key), schema)
 
@@ -59,7 +60,7 @@ def bm25(terms: DataFrame, docs: DataFrame, doc_key: str, query_key: str | None
     asked = terms if "weight" in terms.columns else terms.withColumn("weight", F.lit(1.0))
     asked = asked.filter(F.col("weight") > 0).dropDuplicates([*([query_key] if query_key else []), "term"])
     stats = docs.agg(F.count(F.lit(1)).alias("ndoc"), F.avg(F.size(T.tokens(text))).alias("avgdl"))  # one row
-    post = postings(docs, [doc_key], text).join(asked.select("term").distinct(), "term", "left_semi")
+    post = stored(postings(docs, [doc_key], text).join(asked.select("term").distinct(), "term", "left_semi"), "asked-postings")  # read for frequencies and for scores
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = df.join(F.broadcast(stats)).filter((F.lit(stopword_df) <= 0) | (F.col("df") <= F.lit(stopword_df) * F.col("ndoc")))
     weighed = weighed.select("term", idf(F.col("df"), F.col("ndoc")).alias("idf"), "avgdl")
@@ -79,7 +80,7 @@ def _chunks(mode: str, size: int, least: int):
 
 def chunks(entries: DataFrame, mode: str = "paragraph", size: int = 1750, least: int = 120) -> DataFrame:
     """(entry_id, pos, text): the pieces of each entry's content."""
-    return entries.select("entry_id", "content").mapInArrow(_chunks(mode, size, least), "entry_id long, pos int, text string")
+    return spread(entries.select("entry_id", "content")).mapInArrow(_chunks(mode, size, least), "entry_id long, pos int, text string")
 
 
 def best_chunk(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

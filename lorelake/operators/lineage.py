@@ -36,10 +36,15 @@ def lineages(entries: DataFrame, threshold: float = 0.3, recency: DataFrame | No
     body = F.lower(F.trim(F.regexp_replace("content", r"\s+", " ")))
     sigs = entries.filter(F.coalesce("content", F.lit("")) != "").select("world", F.md5(body).alias("h")).distinct()
     sizes = sigs.groupBy("world").agg(F.count(F.lit(1)).alias("n"))
-    # only bodies that several books hold can link them; each book links to the first holder and the pairs within a body are those of books, not entries
-    held = sigs.join(sigs.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "h").select("world", "h")
-    pairs = held.alias("a").join(held.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.world") < F.col("b.world")))
-    shared = pairs.groupBy(F.col("a.world").alias("x"), F.col("b.world").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    # a book that shares enough with one at least as large shares one of its rarest bodies, so bodies that many books hold open no pairs
+    held = sigs.groupBy("h").agg(F.count(F.lit(1)).alias("k")).join(sigs, "h").join(sizes, "world")
+    place = F.row_number().over(Window.partitionBy("world").orderBy("k", "h"))
+    asked = held.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("k") > 1))
+    a, b = asked.select(F.col("world").alias("a"), "h", F.col("n").alias("na")), held.filter("k > 1").select(F.col("world").alias("b"), "h", F.col("n").alias("nb"))
+    larger = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = a.join(b, "h").filter(larger).select("a", "b").distinct()
+    mine, theirs = sigs.select(F.col("world").alias("a"), "h"), sigs.select(F.col("world").alias("b"), "h")
+    shared = near.join(mine, "a").join(theirs, ["b", "h"]).groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
     a, b = sizes.select(F.col("world").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("world").alias("y"), F.col("n").alias("ny"))
     linked = shared.join(a, "x").join(b, "y").filter(F.col("shared") / F.least("nx", "ny") >= threshold)
     ids = entries.select("world").distinct().select("world", F.xxhash64("world").alias("id"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import smartkeys as S
-from ..session import stored
+from ..session import spread, stored
 
 PATTERN_BLOCK = 200_000  # patterns an automaton holds; more go in further passes
 KEY_BLOCK = 20_000  # expressions and patterns evaluated in one pass; more go in further passes
@@ -49,7 +49,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def key_table(entries: DataFrame) -> DataFrame:
     """(world, entry_id, pos, key, kind, alerts, usable, forms) of all non-blank keys."""
     schema = "world string, entry_id long, pos int, key string, kind string, alerts array<string>, usable boolean, forms array<string>"
-    return entries.select("world", "entry_id", "key").mapInArrow(_key_rows, schema)
+    return spread(entries.select("world", "entry_id", "key")).mapInArrow(_key_rows, schema)
 
 
 def _automaton(patterns: list[str]) -> ahocorasick.Automaton:
@@ -100,7 +100,7 @@ def literal_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
 
     def over(part: list[str]) -> DataFrame:
         sent = segments.sparkSession.sparkContext.broadcast(part)  # at most PATTERN_BLOCK patterns
-        return segments.select("seg_id", "text").mapInArrow(_hits(uuid.uuid4().hex, sent), "seg_id string, form string, n int")
+        return spread(segments.select("seg_id", "text")).mapInArrow(_hits(uuid.uuid4().hex, sent), "seg_id string, form string, n int")
 
     for r in forms.toLocalIterator():
         block.append(r.form)
@@ -292,7 +292,7 @@ def evaluated_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
     out, block = None, []
 
     def over(part: list[str]) -> DataFrame:
-        return segments.select("seg_id", "text").mapInArrow(_evaluated(part), "key string, seg_id string")
+        return spread(segments.select("seg_id", "text")).mapInArrow(_evaluated(part), "key string, seg_id string")
 
     for r in keys.filter("usable AND kind <> 'literal'").select("key").distinct().toLocalIterator():
         block.append(r.key)

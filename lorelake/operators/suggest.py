@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import stored
+from ..session import spread, stored
 
 # Limits, and words that may stand inside a gram but not end it.
 PARTICLES = frozenset("de del da di du la las le les los el van von der den bin ibn al af av dos das".split())
@@ -98,7 +98,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_evidence(entries: DataFrame) -> DataFrame:
     """(world, word, df, cf, lower, caps_mid, shouted, mixed, is_name): a word is a name if nearly all its uses inside sentences are
     capitalised, or if it is a short one only ever in capitals."""
-    rows = entries.select("world", "content").mapInArrow(_evidence, "world string, word string, cf long, lower long, caps_mid long, shouted long, mixed long")
+    rows = spread(entries.select("world", "content")).mapInArrow(_evidence, "world string, word string, cf long, lower long, caps_mid long, shouted long, mixed long")
     sums = rows.groupBy("world", "word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in ("cf", "lower", "caps_mid", "shouted", "mixed")])
     acronym = (F.length("word") <= 6) & (F.col("shouted") > 0) & (F.col("mixed") == 0)
     ratio = (F.col("caps_mid") > 0) & (F.col("caps_mid") / (F.col("caps_mid") + F.col("lower")) >= NAME_RATIO)
@@ -170,21 +170,46 @@ def suggestions(entries: DataFrame, pack: LanguagePack = LanguagePack(), cap: in
     once = rows.filter(F.col("tf") < least)
     words = once.select("world", "entry_id", "gram", F.explode(F.split("gram", " ")).alias("word")).filter(~F.col("word").isin(sorted(LINKERS)))
     unnamed = words.join(names, ["world", "word"], "left_anti").select("world", "entry_id", "gram").distinct()
-    rows = rows.join(unnamed, ["world", "entry_id", "gram"], "left_anti")
-    rows = stored(rows.join(cohesion(rows), ["world", "gram"], "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0))), "cohesive-grams")
-    parts = F.split("gram", " ")
-    inner = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), " "))))
-    longer = rows.filter("words > 1").select("world", "entry_id", "tf", "words", F.col("gram").alias("long"), (F.col("cohesion") >= SUBSUME).alias("holds"), F.explode(F.array_distinct(inner)).alias("gram"))
-    held = longer.filter("long <> gram").select("world", "entry_id", "tf", "gram", "long", "words", "holds")
-    pairs = held.join(rows.select("world", "entry_id", "tf", "gram", F.col("words").alias("short_words")), ["world", "entry_id", "tf", "gram"])
-    cohesive = F.col("holds") | (F.col("words") < 3)
-    lost = pairs.filter(cohesive & (F.col("short_words") > 1)).select("world", "entry_id", "gram").unionByName(
-        pairs.filter(~cohesive & (F.col("long").startswith(F.concat("gram", F.lit(" "))) | F.col("long").endswith(F.concat(F.lit(" "), "gram"))) & (F.col("short_words") == 2)).select("world", "entry_id", F.col("long").alias("gram"))
-    )
-    have = entries.select("world", "entry_id", F.explode(F.transform("key", lambda k: F.trim(F.lower(k)))).alias("gram"))
-    kept = rows.join(lost.distinct(), ["world", "entry_id", "gram"], "left_anti").join(have, ["world", "entry_id", "gram"], "left_anti")
-    w = Window.partitionBy("world", "entry_id").orderBy(F.col("score").desc(), "gram")
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).select("world", "entry_id", "gram", "tf", "df", "score", "rank")
+    rows = stored(rows.join(unnamed, ["world", "entry_id", "gram"], "left_anti"), "named-grams")
+    held = rows.join(cohesion(rows), ["world", "gram"], "left").withColumn("cohesive", (F.coalesce("cohesion", F.lit(1.0)) >= SUBSUME) | (F.col("words") < 3))
+    # what contains what is settled inside an entry, whose grams are bounded by its text
+    one = held.groupBy("world", "entry_id").agg(F.collect_list(F.struct("gram", "tf", "df", "score", "words", "cohesive")).alias("grams"))
+    have = entries.select("world", "entry_id", F.coalesce("key", F.array().cast("array<string>")).alias("keys"))
+    schema = "world string, entry_id long, gram string, tf int, df long, score double, rank int"
+    return one.join(have, ["world", "entry_id"]).select("world", "entry_id", "grams", "keys").mapInArrow(_kept_grams(cap), schema)
+
+
+def lost_grams(rows: list[tuple[str, int, int, bool]]) -> set[str]:
+    """Of an entry's grams (gram, tf, words, cohesive) those that give way: a gram inside a cohesive longer one of the same count, and a longer one that isn't cohesive before its shoulder."""
+    at = {(g, tf): words for g, tf, words, _ in rows}
+    lost = set()
+    for gram, tf, words, cohesive in rows:
+        parts = gram.split(" ")
+        if words > 1:
+            inner = {(i, j) for i in range(words) for j in range(i + 1, words + 1)} - {(0, words)}
+            for i, j in inner:
+                short = " ".join(parts[i:j])
+                if (short, tf) in at and short != gram:
+                    if cohesive and at[short, tf] > 1:
+                        lost.add(short)
+                    elif not cohesive and at[short, tf] == 2 and (i == 0 or j == words):
+                        lost.add(gram)
+    return lost
+
+
+def _kept_grams(cap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for world, entry, grams, keys in zip(*(b.column(c).to_pylist() for c in ("world", "entry_id", "grams", "keys"))):
+                gone = lost_grams([(g["gram"], g["tf"], g["words"], g["cohesive"]) for g in grams]) | {k.lower().strip(" ") for k in keys if k}
+                kept = sorted((g for g in grams if g["gram"] not in gone), key=lambda g: (-g["score"], g["gram"]))[:cap]
+                out += [(world, entry, g["gram"], g["tf"], g["df"], g["score"], n) for n, g in enumerate(kept, 1)]
+            cols = list(zip(*out)) if out else [()] * 7
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["world", "entry_id", "gram", "tf", "df", "score", "rank"])
+
+    return run
 
 
 def parse_key_list(raw: str | None) -> list[str]:
@@ -219,7 +244,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bigrams(entries: DataFrame) -> DataFrame:
     """(world, word, next, n) over the word runs of a book's contents, counted in the task first."""
-    rows = entries.select("world", "content").mapInArrow(_contexts, "world string, word string, next string, n long")
+    rows = spread(entries.select("world", "content")).mapInArrow(_contexts, "world string, word string, next string, n long")
     return rows.groupBy("world", "word", "next").agg(F.sum("n").alias("n"))
 
 

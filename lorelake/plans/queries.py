@@ -201,11 +201,15 @@ def _similarity(spark, d, entries: DataFrame, fired: DataFrame) -> DataFrame:
     pieces = index.wanted(entries).join(entries.select("entry_id", "world"), "entry_id")
     vectors = index.embed(pieces.select("hash", "text")).select("hash", "vector")
     pieces = stored(pieces.select("hash", "entry_id", "world").join(vectors, "hash"), "chunk-vectors")
+    length = lambda c: F.greatest(F.sqrt(dense.dot(F.col(c), F.col(c))), F.lit(1e-12))
     mean = dense.corpus_mean(pieces, "vector", by=["world"]).select("world", "mean")
     asked = index.embed(scenes.query_text(_messages(spark, d), CFG.message_depth).select(F.xxhash64("chat_id").alias("hash"), F.col("query").alias("text"))).select("hash", F.col("vector").alias("q"))
-    pairs = fired.select("chat_id", "entry_id").join(pieces, "entry_id").join(mean, "world").withColumn("hash", F.xxhash64("chat_id")).join(asked, "hash")
-    cosine = dense.cosine(dense.centred(F.col("vector"), F.col("mean")), dense.centred(F.col("q"), F.col("mean")))
-    return pairs.groupBy("chat_id", "entry_id").agg(F.max(F.round(cosine, 9)).alias("cosine"))
+    # each side is centred and measured before they meet, so that a pair costs one product
+    chunk = pieces.join(mean, "world").withColumn("v", dense.centred(F.col("vector"), F.col("mean"))).select("entry_id", "v", length("v").alias("nv"))
+    owned = table(spark, d, "chats").filter("world_info IS NOT NULL").select("chat_id", F.col("world_info").alias("world"), F.xxhash64("chat_id").alias("hash"))
+    said = owned.join(asked, "hash").join(mean, "world").withColumn("q", dense.centred(F.col("q"), F.col("mean"))).select("chat_id", "q", length("q").alias("nq"))
+    pairs = fired.select("chat_id", "entry_id").join(stored(chunk, "unit-chunks"), "entry_id").join(stored(said, "unit-chats"), "chat_id")
+    return pairs.groupBy("chat_id", "entry_id").agg(F.max(F.round(dense.dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 9)).alias("cosine"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,6 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_moves = re.compile(r"\b(?:Join|Aggregate|Window|Sort|Repartition\w*|Distinct|Generate|GlobalLimit)\b")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it is a plain scan of fewer splits; else ``df`` as it is.
+
+    For Arrow stages that cost far more than reading their rows: a table of one small file would keep one core busy. A large table has more
+    splits than cores and isn't touched.
+    """
+    query = df._jdf.queryExecution()
+    if _moves.search(query.optimizedPlan().toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if query.toRdd().getNumPartitions() < cores else df
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 

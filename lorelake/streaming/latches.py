@@ -15,10 +15,11 @@ OUTPUT = "chat_id string, entry_id long, at int, state string"
 STATE = "first int, end int"
 
 
-def latch_function(sticky: int = 0) -> Callable:
+def latch_function(sticky: int = 0, cooldown: int = 0) -> Callable:
     """Per (chat, entry): the first length it fired at, and whether it is still held in ``sticky`` messages later (0: for good).
 
-    A length below the first firing is a rewind: the latch is undone and the firing counts anew.
+    With a cooldown it is ``cooling`` for so many messages more, and then fires anew. A length below the first firing is a rewind: the latch is
+    undone and the firing counts anew.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -26,11 +27,11 @@ def latch_function(sticky: int = 0) -> Callable:
         rows = []
         for pdf in batches:
             for at in sorted(pdf["at"].tolist()):
-                if first is None or at < first:
+                if first is None or at < first or (cooldown and at > end + cooldown):
                     first, end = at, at + sticky if sticky else 2**31 - 1
                     rows.append((key[0], key[1], at, "fired"))
                 else:
-                    rows.append((key[0], key[1], at, "held" if at <= end else "free"))
+                    rows.append((key[0], key[1], at, "held" if at <= end else "cooling" if cooldown else "free"))
         if first is not None:
             state.update((int(first), int(end)))
         yield pd.DataFrame(rows, columns=["chat_id", "entry_id", "at", "state"])
@@ -38,9 +39,9 @@ def latch_function(sticky: int = 0) -> Callable:
     return update
 
 
-def latch_stream(firings: DataFrame, sticky: int = 0) -> DataFrame:
+def latch_stream(firings: DataFrame, sticky: int = 0, cooldown: int = 0) -> DataFrame:
     """(chat_id, entry_id, at, state) of a stream of firings (chat_id, entry_id, at)."""
-    return firings.groupBy("chat_id", "entry_id").applyInPandasWithState(latch_function(sticky), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return firings.groupBy("chat_id", "entry_id").applyInPandasWithState(latch_function(sticky, cooldown), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def first_firings(firings: DataFrame, up_to: str | None = None) -> DataFrame:
