@@ -12,13 +12,17 @@ time in proportion to their length; repeated rows are encoded each; an empty tab
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 # Fixed value: the pattern that cuts a text into words before byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 4_000_000
@@ -182,4 +186,4 @@ def encode_corpus(documents: DataFrame, path: str | None = None, pattern: str =
     if path is not None:  # shipped to the executors; the default one is installed with the workers' Python
         documents.sparkSession.sparkContext.addFile(path)
         name = os.path.basename(path)
-    return documents.select("doc_id", "text").mapInArrow(_encode(name, pattern), "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encode(name, pattern), "doc_id long, ids array<int>")

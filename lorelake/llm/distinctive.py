@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .terms import counted_messages, terms_of
 
 BLOCK_TOKENS = 200_000
@@ -158,7 +158,7 @@ def term_scores(recs: DataFrame, min_tf: int = 1, max_df: int | None = None) ->
 
     Every record is scored over all its terms; ``min_tf`` and ``max_df`` only choose which of them are returned.
     """
-    blocks = stored(recs.mapInArrow(_blocks, BLOCKS), "term-blocks")
+    blocks = stored(spread(recs).mapInArrow(_blocks, BLOCKS), "term-blocks")
     zipped = F.explode(F.arrays_zip("terms", "cf", "df")).alias("x")
     counts = blocks.select("field", zipped).groupBy("field", F.col("x.terms").alias("term")).agg(F.sum("x.cf").cast("long").alias("cf"), F.sum("x.df").cast("long").alias("df"))
     counts = stored(counts, "term-counts")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 
 # Letters of other scripts that look like a Latin letter (lower case, then upper case).
 CYRILLIC_TO_LATIN = {
@@ -187,7 +187,7 @@ def suspect_chunks(vals: DataFrame) -> DataFrame:
 
     One Arrow pass; most texts are plain ASCII and are passed over at once, where a regular expression of the JVM would read each character.
     """
-    return vals.mapInArrow(_suspects, "field string, row_id long, pos int, chunk string")
+    return spread(vals).mapInArrow(_suspects, "field string, row_id long, pos int, chunk string")
 
 
 def form_dictionary(chunks: DataFrame) -> DataFrame:

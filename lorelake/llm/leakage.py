@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .forms import consistent_form
 
 WINDOW, RAREST, AGREE, SHIFT = 20, 6, 3, 3
@@ -104,7 +104,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(documents: DataFrame) -> DataFrame:
     """The positional index of documents (doc_id, text), stored in the shared folder; one row a block."""
     schema = "ids binary, lengths binary, terms array<string>, n_docs array<int>, sizes binary, docs binary, places binary"
-    return stored(documents.select("doc_id", "text").mapInArrow(_postings, schema), "positional-index")
+    return stored(spread(documents.select("doc_id", "text")).mapInArrow(_postings, schema), "positional-index")
 
 
 def anchors(df: list[int]) -> list[int]:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .forms import consistent_form
 
 STATES = ("chat", "html", "markdown", "wiki", "latex")
@@ -485,9 +486,9 @@ def _taken(pages: DataFrame | None) -> str | None:
 
 def present_markups(messages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(msg_id, markup): one row for each kind of markup present in a message."""
-    return messages.select("msg_id", "mes").mapInArrow(_find(_taken(pages)), "msg_id long, markup string")
+    return spread(messages.select("msg_id", "mes")).mapInArrow(_find(_taken(pages)), "msg_id long, markup string")
 
 
 def clean_texts(messages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(msg_id, text) of every message, cleaned."""
-    return messages.select("msg_id", "mes").mapInArrow(_cleaned(_taken(pages)), "msg_id long, text string")
+    return spread(messages.select("msg_id", "mes")).mapInArrow(_cleaned(_taken(pages)), "msg_id long, text string")

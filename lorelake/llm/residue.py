@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .forms import consistent_form
 from .residue_exemplars import RESIDUE, TELLING
 
@@ -235,7 +236,7 @@ def judged(documents: DataFrame, labelled: DataFrame | list[tuple[bool, str]] |
             raise ValueError(f"more than {MOST_EXEMPLARS} exemplars")
         labelled = [(r.residue, r.text) for r in rows]
     labelled = labelled or exemplars()
-    docs = documents.select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text"))
     vocabulary = frozenset(t for _, text in labelled for t in terms_in(text))
     df = {r.term: r.n for r in docs.mapInArrow(_df(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     index = ExemplarIndex(labelled, df, df.pop("", 0))

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .forms import consistent_form
 
 TERM = re.compile(r"[^\W_]{2,}")
@@ -116,7 +116,7 @@ def detect_heavy(recs: DataFrame, share: float = HEAVY_SHARE, fraction: float =
 def term_counts(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(field, term, n_occurrences, n_records) of every term, and (field, records) with the number of records of each field."""
     heavy_ids = recs.sparkSession.sparkContext.broadcast(detect_heavy(recs))  # at most 1/HEAVY_SHARE terms a field
-    partial = stored(recs.mapInArrow(_counter(heavy_ids), PARTIAL), "term-partials", ["kind"])
+    partial = stored(spread(recs).mapInArrow(_counter(heavy_ids), PARTIAL), "term-partials", ["kind"])
     sums = [F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")]
     heavy = partial.filter(F.col("kind") == "heavy").groupBy("field", "term").agg(*sums)  # a few thousand rows a task, summed by task before
     light = partial.filter(F.col("kind") == "light").groupBy("field", "term").agg(*sums)

@@ -51,3 +51,9 @@ def test_operator(spark, monkeypatch):
     got = sorted((r.doc_id, r.ids) for r in bpe.encode_corpus(docs).collect())
     assert got[0] == (1, []) and got[1] == (2, []) and got[2][1] and got[3] == got[4] and len(got) == 6
     assert bpe.encode_corpus(docs.limit(0)).count() == 0
+
+
+def test_vocabulary_given_as_a_file(spark):
+    docs = spark.createDataFrame([(1, "a small text"), (2, None), (3, "")], "doc_id long, text string")
+    given = {r.doc_id: r.ids for r in bpe.encode_corpus(docs, bpe.default_vocabulary()).collect()}
+    assert given == {r.doc_id: r.ids for r in bpe.encode_corpus(docs).collect()} and given[2] == given[3] == []
