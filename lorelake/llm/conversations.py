@@ -39,7 +39,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the smallest node of its neighbourhood, itself included."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")  # small_star takes out what stands twice
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
