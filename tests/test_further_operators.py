@@ -154,3 +154,9 @@ def test_no_machine_local_folder_on_a_cluster():
         session.shared_dir(Session())
 
 
+def test_driver_entry(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert {"chat_id", "entry_id", "prompt_order"} <= set(entry.entry(spark).columns)
