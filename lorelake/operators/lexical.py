@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -128,3 +130,76 @@ def name_idf(entries: DataFrame) -> DataFrame:
     docs = filled.groupBy("world").agg(F.count(F.lit(1)).alias("ndoc"))
     owned = names(filled, "entry_id", "content").select(F.col("entry_id").cast("long").alias("entry_id"), "term").join(filled.select("entry_id", "world"), "entry_id")
     return owned.groupBy("world", "term").agg(F.count(F.lit(1)).alias("df")).join(docs, "world")
+
+
+QUERY_ROWS = 200_000  # (query, term) rows that one pass over the documents scores; more go in further passes
+
+
+def _frequencies(vocabulary: frozenset[str]):
+    """(term, n): documents that hold each asked term; '' counts the documents, null their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        docs = tokens = 0
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                toks = T.token_list(text)
+                docs, tokens = docs + 1, tokens + len(toks)
+                df.update(vocabulary.intersection(toks))
+        rows = [("", docs), (None, tokens), *df.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["term", "n"])
+
+    return run
+
+
+def _top(ids: np.ndarray, of_term: dict[str, tuple[np.ndarray, np.ndarray]], avgdl: float, k: int, k1: float, b: float, places: int):
+    """The k best documents of each query in a task; of_term: the queries (by place in ids) that ask a term and what it weighs in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, own = np.zeros((0, len(ids))), np.zeros((0, len(ids)), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                scores = np.zeros((part.num_rows, len(ids)))
+                for row, text in zip(scores, part.column("text").to_pylist()):
+                    toks = T.token_list(text)
+                    norm = k1 * (1 - b + b * len(toks) / (avgdl or 1))
+                    for term, tf in Counter(toks).items():
+                        if (hit := of_term.get(term)) is not None:
+                            row[hit[0]] += hit[1] * (tf * (k1 + 1) / (tf + norm))
+                scores = np.floor(scores * 10**places + 0.5) / 10**places
+                best = np.vstack([best, scores])
+                own = np.vstack([own, np.broadcast_to(part.column("doc").to_numpy(zero_copy_only=False)[:, None], scores.shape)])
+                order = np.lexsort((own, -best), axis=0)[:k]
+                best, own = np.take_along_axis(best, order, 0), np.take_along_axis(own, order, 0)
+        keep = best > 0
+        query = np.broadcast_to(ids, best.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(own[keep]), pa.array(best[keep])], names=["query", "doc", "score"])
+
+    return run
+
+
+def bm25_top(terms: DataFrame, docs: DataFrame, doc_key: str, query_key: str, k: int, k1: float = 1.2, b: float = 0.75, stopword_df: float = 0.0, text: str = "text", places: int = 5) -> DataFrame:
+    """(query_key, doc_key, score, rank): the k best documents of each query (query_key, term) by BM25, scores to ``places``, equal ones by document.
+
+    The stated query set goes over the documents in blocks of QUERY_ROWS. A task keeps k documents a query, so a term that many documents and
+    queries share makes no pairs to shuffle; keys are longs.
+    """
+    rows = spread(docs.select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text")))
+    asked = terms.select(F.col(query_key).cast("long").alias("q"), "term").dropna().distinct()
+    blocks = -(-asked.count() // QUERY_ROWS)
+    out = rows.sparkSession.createDataFrame([], "query long, doc long, score double")
+    for i in range(blocks):
+        part: dict[str, list[int]] = {}
+        for r in asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect():  # about QUERY_ROWS rows
+            part.setdefault(r.term, []).append(r.q)
+        df = {r.term: r.n for r in rows.mapInArrow(_frequencies(frozenset(part)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n, tokens = df.pop("", 0), df.pop(None, 0)
+        ids = np.array(sorted({q for qs in part.values() for q in qs}), np.int64)
+        weigh = lambda d: math.log(1 + (n - d + 0.5) / (d + 0.5))
+        of_term = {t: (np.searchsorted(ids, qs), np.full(len(qs), weigh(df[t]))) for t, qs in part.items() if df.get(t) and (stopword_df <= 0 or df[t] <= stopword_df * n)}
+        found = rows.mapInArrow(_top(ids, of_term, tokens / n if n else 0.0, k, k1, b, places), "query long, doc long, score double")
+        out = found if i == 0 else out.unionByName(found)
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
+    ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_key), F.col("doc").alias(doc_key), "score", "rank")

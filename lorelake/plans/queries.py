@@ -255,9 +255,7 @@ def term_idf(spark, d):
 def bm25_topk(spark, d):
     asked = table(spark, d, "eval_items").select("item_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scores = lexical.bm25(asked, docs, "doc_id", "item_id", stopword_df=CFG.stopword_df).withColumn("score", F.round("score", 5))
-    w = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    return lexical.bm25_top(asked, docs, "doc_id", "item_id", 10, stopword_df=CFG.stopword_df)
 
 
 @query

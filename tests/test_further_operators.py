@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorelake import session
 from lorelake.functions import hashing
-from lorelake.operators import activation, audit, delivery, evaluation, lineage, scenes, suggest
+from lorelake.operators import activation, audit, delivery, evaluation, lexical, lineage, scenes, suggest
 from lorelake.sources import books
 from lorelake.streaming import latches
 
@@ -160,3 +160,18 @@ def test_driver_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert {"chat_id", "entry_id", "prompt_order"} <= set(entry.entry(spark).columns)
+
+
+def test_top_documents(spark, monkeypatch):
+    texts = ["amber birch amber", "birch cedar", "amber", None, "", "cedar cedar cedar birch", "amber"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, term string")
+    asked = spark.createDataFrame([(1, "amber"), (1, "cedar"), (2, "birch"), (2, "birch"), (3, "unsaid"), (4, None)], "item_id long, term string")
+    whole = {(r.item_id, r.doc_id): r.score for r in lexical.bm25(asked.dropna(), docs, "doc_id", "item_id").collect()}
+    want = {}
+    for q in (1, 2):
+        order = sorted((-round(s, 5), d) for (i, d), s in whole.items() if i == q)[:3]
+        want |= {(q, d): (pytest.approx(-s, abs=2e-5), n) for n, (s, d) in enumerate(order, 1)}
+    for rows in (200_000, 2):
+        monkeypatch.setattr(lexical, "QUERY_ROWS", rows)
+        assert {(r.item_id, r.doc_id): (r.score, r.rank) for r in lexical.bm25_top(asked, docs, "doc_id", "item_id", 3).collect()} == want
+    assert lexical.bm25_top(asked.limit(0), docs, "doc_id", "item_id", 3).count() == 0 and lexical.bm25_top(asked, docs.limit(0), "doc_id", "item_id", 3).count() == 0
