@@ -57,7 +57,7 @@ CHUNK_RE = re.compile(CHUNK)
 
 # Necessary condition for a change: a character outside the plain ranges (printable ASCII, composed Latin letters and Latin-1 signs
 # without compatibility forms, typographic quotes, dashes, ellipsis, Cyrillic and Greek letters, kana and unified ideographs), or
-# letters of two of the scripts Latin, Cyrillic and Greek side by side. Java and Python read it alike.
+# letters of two of the scripts Latin, Cyrillic and Greek with only signs of other scripts and digits between. Java and Python read it alike.
 _LATIN = r"A-Za-zÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž"
 _CYRILLIC = r"Ѐ-ҁҊ-ԯ"
 _GREEK = r"ΆΈ-ΊΌΎ-ΡΣ-ώ"
@@ -66,8 +66,9 @@ _PLAIN = (
     r"‐‒-―‘-‟•…←-⇿、。々-〩ぁ-ゖァ-ヺー一-鿿"
     + _LATIN + _CYRILLIC + _GREEK
 )
+_OTHER = r"[0-9々-〩ぁ-ゖァ-ヺー一-鿿]*"  # plain signs of a word that are of none of the three
 SUSPECT = (
-    f"[^{_PLAIN}]|[{_LATIN}][0-9]*[{_CYRILLIC}{_GREEK}]|[{_CYRILLIC}][0-9]*[{_LATIN}{_GREEK}]|[{_GREEK}][0-9]*[{_LATIN}{_CYRILLIC}]"
+    f"[^{_PLAIN}]|[{_LATIN}]{_OTHER}[{_CYRILLIC}{_GREEK}]|[{_CYRILLIC}]{_OTHER}[{_LATIN}{_GREEK}]|[{_GREEK}]{_OTHER}[{_LATIN}{_CYRILLIC}]"
 )
 SUSPECT_RE = re.compile(SUSPECT)
 COLLATION = "UNICODE"

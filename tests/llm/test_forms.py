@@ -8,7 +8,7 @@ from lorelake.llm import forms
 
 PAIRS = [
     ("Flyslytu\u0308s", "Flyslytüs"), ("fli\u200entсreѕt", "flintcrest"), ("Ｓchlüssеl", "Schlüssel"), ("a\u00a0b\u2009c\u3000d", "a b c d"),
-    ("\ufb06one", "stone"), ("Hynor\u2060", "Hynor"), ("bridɡe", "bridge"), ("x² ①", "x2 1"), ("монеT", "монеТ"), ("gαte", "gate"), ("so\u00adft", "soft"),
+    ("\ufb06one", "stone"), ("Hynor\u2060", "Hynor"), ("bridɡe", "bridge"), ("x² ①", "x2 1"), ("монеT", "монеТ"), ("gαte", "gate"), ("so\u00adft", "soft"), ("O女α", "O女a"),
 ]
 KEPT = ["plain", "", "“Then…” — yes", "👩\u200d🚀 ❤\ufe0f 1\ufe0f\u20e3", "сад", "tab\tline\r\n", "½", "naïve café", "彼女は静かに", "🏴\U000e0067\U000e0062\U000e007f"]
 
