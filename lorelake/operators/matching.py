@@ -216,7 +216,8 @@ class BookKeys:
             for i in {i for _, (i, _) in self.run_auto.iter(seg.nfc.casefold())} if self.run_names else ():
                 asked.update(self.runs[self.run_names[i]])
             for look in looks:
-                if n := len(seg.spans(self.plain[look][0])):
+                one = len(look) == 3 and not look[1] and not look[2]  # one spelling, wherever it stands
+                if n := seg.folded.count(look[0]) if one else len(seg.spans(self.plain[look][0])):
                     seen[look] = seen.get(look, 0) + n
             for i in asked:
                 tree, place = self.tree(i)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..operators import activation, audit, delivery, dense, evaluation, filters, grades, keyedit, lexical, lineage, matching, relevance, scenes, studies, suggest
+from ..operators import activation, audit, delivery, dense, evaluation, filters, grades, keyedit, lexical, lineage, matching, ranking, relevance, scenes, studies, suggest
 from ..sources import bundles, index
 from ..session import stored, table
 from ..streaming import latches
@@ -196,48 +196,18 @@ def recursion_closure(spark, d):
     return activation.recursion(entries, activation.activated(entries, segs, scene_of).select("chat_id", "entry_id"))
 
 
-def _similarity(spark, d, entries: DataFrame, fired: DataFrame) -> DataFrame:
-    """(chat_id, entry_id, cosine) of the fired entries: the best chunk against the chat's last messages, both centred on the book's mean chunk."""
-    pieces = index.wanted(entries).join(entries.select("entry_id", "world"), "entry_id")
-    vectors = index.embed(pieces.select("hash", "text")).select("hash", "vector")
-    pieces = stored(pieces.select("hash", "entry_id", "world").join(vectors, "hash"), "chunk-vectors")
-    length = lambda c: F.greatest(F.sqrt(dense.dot(F.col(c), F.col(c))), F.lit(1e-12))
-    mean = dense.corpus_mean(pieces, "vector", by=["world"]).select("world", "mean")
-    asked = index.embed(scenes.query_text(_messages(spark, d), CFG.message_depth).select(F.xxhash64("chat_id").alias("hash"), F.col("query").alias("text"))).select("hash", F.col("vector").alias("q"))
-    # each side is centred and measured before they meet, so that a pair costs one product
-    chunk = pieces.join(mean, "world").withColumn("v", dense.centred(F.col("vector"), F.col("mean"))).select("entry_id", "v", length("v").alias("nv"))
-    owned = table(spark, d, "chats").filter("world_info IS NOT NULL").select("chat_id", F.col("world_info").alias("world"), F.xxhash64("chat_id").alias("hash"))
-    said = owned.join(asked, "hash").join(mean, "world").withColumn("q", dense.centred(F.col("q"), F.col("mean"))).select("chat_id", "q", length("q").alias("nq"))
-    pairs = fired.select("chat_id", "entry_id").join(stored(chunk, "unit-chunks"), "entry_id").join(stored(said, "unit-chats"), "chat_id")
-    return pairs.groupBy("chat_id", "entry_id").agg(F.max(F.round(dense.dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 9)).alias("cosine"))
-
-
 @query
 def activate_rank_deliver(spark, d):
     """Keys of a chat's book that fire in its last ten messages, ranked by similarity, BM25 and key scores, cut, budgeted, in prompt order."""
-    segs, scene_of = _scenes(spark, d)
+    segs, _ = _scenes(spark, d)
     entries = scenes.current_entries(_entries(spark, d))
-    fired = stored(activation.activated(entries, segs, scene_of), "fired")
-    asked = scenes.query_text(_messages(spark, d), CFG.message_depth).select("chat_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    post = stored(lexical.postings(scenes.eligible(entries), ["world", "entry_id"], "content"), "postings")  # read for frequencies and for scores
-    stats = scenes.eligible(entries).groupBy("world").agg(F.count(F.lit(1)).alias("ndoc"), F.avg(F.size(T.tokens("content"))).alias("avgdl"))
-    df = post.groupBy("world", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "world").filter(F.col("df") <= CFG.stopword_df * F.col("ndoc"))
-    # only the fired entries' postings meet the chats, by chat and term, so that a chat with many messages is no hot key
-    held = post.join(fired.select("entry_id").distinct(), "entry_id", "left_semi").join(fired.select("chat_id", "entry_id"), "entry_id")
-    rated = held.join(asked, ["chat_id", "term"]).join(df, ["world", "term"])
-    text = rated.groupBy("chat_id", "entry_id").agg(F.sum(lexical.idf(F.col("df"), F.col("ndoc")) * lexical.term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("text"))
-    rows = stored(fired.withColumnRenamed("score", "keys").join(text, ["chat_id", "entry_id"], "left").fillna(0.0, ["text"]), "signals")
-    rows = stored(rows.join(_similarity(spark, d, entries, fired), ["chat_id", "entry_id"], "left"), "all-signals")
-    rows = relevance.score(rows, ["cosine", "text", "keys"], [-1.0, 0.5, 0.9, 0.4], [-2.0, 0.5, 0.8, 0.3], ["chat_id"])
-    kept = relevance.cut(rows, CFG.relevance_cutoff).join(entries.select("entry_id", "uid", "world", "content", "vectorized"), "entry_id")
-    items = kept.select(
-        F.col("chat_id").alias("scene"), "entry_id", F.lit("dynamic").alias("block"), "e_credit", "log_weight", F.col("uid").alias("authored"), F.lit(0).alias("tier"), F.lit(1.0).alias("weight"), F.lit(0).alias("offset"),
-        T.token_estimate("content").alias("tokens"), F.coalesce("vectorized", F.lit(False)).alias("vector"), F.lit(False).alias("exempt"), F.col("world").alias("book"), F.lit(0).alias("book_cap"),
+    chats = table(spark, d, "chats").filter("world_info IS NOT NULL").select("chat_id", F.col("world_info").alias("world"))
+    queries = scenes.query_text(_messages(spark, d), CFG.message_depth).join(chats, "chat_id")
+    out = ranking.delivered(
+        entries, activation.asked(entries), segs, stored(queries, "queries"), index.hash_embedding, [-1.0, 0.5, 0.9, 0.4], [-2.0, 0.5, 0.8, 0.3], CFG.relevance_cutoff,
+        delivery.Caps(tokens=2000, vector=CFG.max_vector), CFG.stopword_df,
     )
-    walk = delivery.layout(items)
-    sent = delivery.budget(walk, delivery.Caps(tokens=2000, vector=CFG.max_vector)).filter("admitted").select("scene", "entry_id", "walk")
-    out = delivery.prompt_order(sent.join(items.select("scene", "entry_id", "authored", "e_credit"), ["scene", "entry_id"]), [F.col("authored"), F.col("entry_id")])
-    return out.select(F.col("scene").alias("chat_id"), "entry_id", "walk", "prompt_order", F.round("e_credit", 6).alias("e_credit"))
+    return out.withColumn("e_credit", F.round("e_credit", 6))
 
 
 # --- lexical and dense -------------------------------------------------------------------------------------------------------

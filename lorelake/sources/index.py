@@ -35,9 +35,8 @@ def hash_embedding(texts: list[str], dim: int = 64) -> np.ndarray:
 
     out = np.zeros((len(texts), dim), np.float32)
     for i, t in enumerate(texts):
-        for w in t.lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1 if h & 1 << 31 else -1
+        h = np.array([zlib.crc32(w.encode()) for w in t.lower().split()], np.int64)
+        out[i] = np.bincount(h % dim, np.where(h & 1 << 31, 1, -1), dim)
     return out
 
 
