@@ -63,3 +63,23 @@ def test_delivery_writes_no_pairs(spark, tables, monkeypatch):  # noqa: F811
     d = tables(book_entries=_book(book), chats=([("c", "w")], "chat_id string, world_info string"), chat_messages=([(1, "c", "A", True, False, "1709251200000", "some amber")], MESSAGE))
     rows = QUERIES["activate_rank_deliver"](spark, d).collect()
     assert set(written) == {"segments", "queries"} and rows and [r.prompt_order for r in sorted(rows, key=lambda r: r.entry_id)] == list(range(99_000, 99_000 + len(rows)))
+
+
+def test_reach_is_the_levels_of_a_loop():
+    rng = random.Random(9)
+    for _ in range(100):
+        waits = {i: rng.choice([0, 0, 0, 2, 4]) for i in range(12)}
+        edges = list({(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(20)) if a != b})
+        seeds, steps = rng.sample(range(14), 3), rng.choice([0, 0, 1, 3])
+        want = dict.fromkeys(seeds, 0)
+        depth = 0
+        while not steps or depth < steps:
+            depth += 1
+            new = {b for a, b in edges if a in want and waits[b] <= depth} - set(want)
+            if not new and depth >= max(waits.values()):
+                break
+            want |= dict.fromkeys(new, depth)
+        reach = activation._Reach()
+        reach.edges = [(a, b, waits[b]) for a, b in edges]
+        found, at = reach.levels(seeds, steps)
+        assert dict(zip(found.tolist(), at.tolist())) == want and len(found) == len(want)
