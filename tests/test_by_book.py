@@ -83,3 +83,18 @@ def test_reach_is_the_levels_of_a_loop():
         reach.edges = [(a, b, waits[b]) for a, b in edges]
         found, at = reach.levels(seeds, steps)
         assert dict(zip(found.tolist(), at.tolist())) == want and len(found) == len(want)
+
+
+def test_links_of_a_book_in_blocks(spark, tables, monkeypatch):  # noqa: F811
+    from lorelake.operators import audit
+
+    rng = random.Random(2)
+    words = [f"word{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join(rng.sample(words[k * 12 : k * 12 + 36], 32)) for k in (0, 1, 2) for _ in range(15)]
+    d = tables(book_entries=_book([([], t) for t in [*texts, texts[0]]]))
+    whole = {r.entry_id: (r.class_id, r.links) for r in QUERIES["near_duplicates"](spark, d).collect()}
+    monkeypatch.setattr(audit, "BLOCK", 9)
+    assert {r.entry_id: (r.class_id, r.links) for r in QUERIES["near_duplicates"](spark, d).collect()} == whole
+    sets = [set(t.split()) for t in texts]
+    near = [sum(len(a & b) / len(a | b) >= audit.DUPE_MIN for b in sets) - 1 for a in sets]
+    assert [whole[i][1] for i in range(len(texts))] == near and whole[45] == whole[0]
