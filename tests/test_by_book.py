@@ -98,3 +98,17 @@ def test_links_of_a_book_in_blocks(spark, tables, monkeypatch):  # noqa: F811
     sets = [set(t.split()) for t in texts]
     near = [sum(len(a & b) / len(a | b) >= audit.DUPE_MIN for b in sets) - 1 for a in sets]
     assert [whole[i][1] for i in range(len(texts))] == near and whole[45] == whole[0]
+
+
+def test_flags_read_the_keys_once(spark, monkeypatch):
+    from lorelake.operators import audit
+
+    calls, key_table = [], matching.key_table
+    monkeypatch.setattr(matching, "key_table", lambda e: calls.append(1) or key_table(e))
+    rows = [("w", i, [k], c) for i, (k, c) in enumerate([("amber", "amber, amber-glass"), ("amber-glass", "amber glass"), ("unsaid", None), ("/it's/", "it’s"), ("? amber::3 & glass", "x")])]
+    entries = spark.createDataFrame(rows, "world string, entry_id long, key array<string>, content string")
+    chat = spark.createDataFrame([(i, t) for i, t in enumerate(["amber", "chambers", "chamber", "no"])], "msg_id long, mes string")
+    got = {r.key: (r.flag, r.severity, r.df, r.chat_rate) for r in audit.flags(entries, chat).collect()}
+    assert len(calls) == 1 and got["amber"] == ("substring", "moderate", 2, 0.75) and {k: r[0] for k, r in got.items()} == {"amber": "substring", "unsaid": "unattested", "/it's/": "regex orthography"}
+    book = {r.key: (r.df, r.total, r.typed) for r in audit.book_counts(entries).collect()}
+    assert book == {"amber": (2, 3.0, 3), "amber-glass": (2, 2.0, 1), "unsaid": (0, 0.0, 0), "/it's/": (0, 0.0, 0), "? amber::3 & glass": (2, book["? amber::3 & glass"][1], 0)}
