@@ -80,9 +80,12 @@ def test_reach_is_the_levels_of_a_loop():
                 break
             want |= dict.fromkeys(new, depth)
         reach = activation._Reach()
-        reach.edges = [(a, b, waits[b]) for a, b in edges]
-        found, at = reach.levels(seeds, steps)
-        assert dict(zip(found.tolist(), at.tolist())) == want and len(found) == len(want)
+        reach.edges = [(a, np.array([b]), np.array([waits[b]])) for a, b in edges]
+        for _ in range(2):
+            found, at = reach.levels(seeds, steps)
+            assert dict(zip(found.tolist(), at.tolist())) == want and len(found) == len(want)
+            assert reach.bits is not None or _
+            reach.bits = None  # the same with few edges
 
 
 def test_links_of_a_book_in_blocks(spark, tables, monkeypatch):  # noqa: F811
